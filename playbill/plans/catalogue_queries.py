@@ -69,7 +69,7 @@ def source_overlap_pairs(spark, sf):
 SELECT source, count(*) AS represented, count(*) FILTER (n = 1) AS unique_listings, count(*) FILTER (n > 1) AS overlap_listings,
   count(DISTINCT event_type) AS category_count, count(DISTINCT event_type) FILTER (n = 1) AS unique_category_count,
   string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS categories,
-  count(*) FILTER (booking_url IS NOT NULL OR id::BIGINT % 10 IN (1, 3)) AS bookable,
+  count(*) FILTER (booking_url IS NOT NULL OR id::BIGINT % 10 = 1) AS bookable,
   round(count(*) FILTER (n = 1) / count(*), 9) AS unique_share
 FROM (SELECT *, unnest(source_names) AS source, len(source_names) AS n FROM td WHERE {_UP}) WHERE source IN ({_LOCAL_SQL}) GROUP BY source"""))
 def local_audit(spark, sf):
@@ -329,10 +329,12 @@ def url_classes(spark, sf):
     )
 
 
-@query("classify_tags", """SELECT tag, count(*) AS documents FROM (SELECT unnest(list_filter([
-  CASE WHEN regexp_matches(t, '\\b(retro|nostalgi|retromania)\\b') THEN 'Retro & nostalgi' END, CASE WHEN regexp_matches(t, '\\b(tech|teknik|technology)\\b') THEN 'Teknik' END,
-  CASE WHEN regexp_matches(t, '\\b(show|musical|musikal|revy|cirkus)\\b') THEN 'Musikal/show' END, CASE WHEN regexp_matches(t, '\\bfestival\\b') THEN 'Festival' END,
-  CASE WHEN regexp_matches(t, '\\b(motor|rally|fordon|automotive|motorsport)\\b') THEN 'Fordon' END], lambda x: x IS NOT NULL)) AS tag FROM (SELECT lower(text) AS t FROM documents)) GROUP BY tag""")
+_TAG_SQL = lambda tag, words: f"CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({words})([^\\p{{L}}\\p{{N}}_]|$)') THEN '{tag}' END"
+
+
+@query("classify_tags", f"""SELECT tag, count(*) AS documents FROM (SELECT unnest(list_filter([{_TAG_SQL('Retro & nostalgi', 'retro|nostalgi|retromania')},
+  {_TAG_SQL('Teknik', 'tech|teknik|technology')}, {_TAG_SQL('Musikal/show', 'show|musical|musikal|revy|cirkus')}, {_TAG_SQL('Festival', 'festival')},
+  {_TAG_SQL('Fordon', 'motor|rally|fordon|automotive|motorsport')}], lambda x: x IS NOT NULL)) AS tag FROM (SELECT lower(text) AS t FROM documents)) GROUP BY tag""")
 def classify_tags(spark, sf):
     kept = ["Retro & nostalgi", "Teknik", "Musikal/show", "Festival", "Fordon"]
     tags = classify.tags_of(classify.taxonomy_text(F.lit(""), "text"))
