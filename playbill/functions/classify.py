@@ -16,15 +16,24 @@ def _rx(patterns) -> str:
     return "(?iuU)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _lower_rx(patterns) -> str:
+    """For text that is lower case already: one leading boundary, shared by all patterns that start with one."""
+    bare = [p.removeprefix(r"\b") for p in patterns]
+    return r"(?U)\b(?:" + "|".join(bare) + ")"
+
+
 def taxonomy_text(title, description) -> Column:
     return F.lower(F.concat_ws(" ", txt(title), txt(description)))
 
 
 def tags_of(text: Column) -> Column:
     """Sorted tags whose rules occur in the text; every single sport also means 'Sport'."""
-    rules = [(text.rlike(_rx(p)), tag) for tag, p in (*vocab.TAG_RULES.items(), *vocab.SPORT_TAG_RULES.items())]
-    any_sport = text.rlike(_rx([p for ps in vocab.SPORT_TAG_RULES.values() for p in ps]))
-    return F.sort_array(F.array_distinct(codes(*rules, (any_sport, "Sport"))))
+    every = {**vocab.TAG_RULES, **{f"sport:{k}": v for k, v in vocab.SPORT_TAG_RULES.items()}}
+    rules = [(text.rlike(_lower_rx(p)), tag.removeprefix("sport:")) for tag, p in every.items()]
+    any_sport = text.rlike(_lower_rx([p for ps in vocab.SPORT_TAG_RULES.values() for p in ps]))
+    found = F.sort_array(F.array_distinct(codes(*rules, (any_sport, "Sport"))))
+    # Most texts match nothing: one pass over all rules settles those.
+    return F.when(text.rlike(_lower_rx([p for ps in every.values() for p in ps])), found).otherwise(F.array().cast(_NO_TAGS))
 
 
 def classify(df, title="title", description="description", event_type="event_type", category="category"):

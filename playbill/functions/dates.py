@@ -57,7 +57,8 @@ def period_matches(start, end, excluded, preset: str, today: dt.date) -> Column:
 def in_horizon(start, demo, today: dt.date, days: int) -> Column:
     """Starts within the next `days` days (at least one), and is not a demo row."""
     end = today + dt.timedelta(days=max(1, int(days)))
-    return ~F.coalesce(col(demo), F.lit(False)) & F.coalesce(parse_day(start).between(F.lit(today), F.lit(end)), F.lit(False))
+    raw = col(start).between(today.isoformat(), end.isoformat())  # implied; lets the scan skip files
+    return raw & ~F.coalesce(col(demo), F.lit(False)) & F.coalesce(parse_day(start).between(F.lit(today), F.lit(end)), F.lit(False))
 
 
 def clock_minutes(c) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from playbill import vocab
 from playbill.functions.classify import joined
-from playbill.functions.dates import days_until
-from playbill.functions.quality import gate_score, is_restricted
+from playbill.functions.dates import days_until, parse_day
+from playbill.functions.quality import is_restricted
 from playbill.functions.text import codes, col, contains_any, dedupe_text, search_text, search_text_py, txt
 
 
@@ -48,6 +48,37 @@ def with_search_columns(df):
     )
 
 
+def with_request_columns(df, today: dt.date):
+    """Everything a request looks at, once per row, so that each request only compares plain columns."""
+    first = parse_day("start_date")
+    off = F.filter(
+        F.transform(F.coalesce(col("excluded_dates"), F.array().cast("array<string>")), lambda d: F.try_to_date(d, "yyyy-MM-dd")), lambda d: d.isNotNull()
+    )
+    df = with_search_columns(df).withColumns({"_d0": first, "_dx": parse_day("end_date")})
+    return df.withColumns(
+        {
+            "_d1": F.greatest("_d0", F.coalesce("_dx", "_d0")),
+            "_off": F.when(F.size("excluded_dates") > 0, F.array_distinct(off)),
+            "_days": F.coalesce(F.datediff("_d0", F.lit(today)), F.lit(9999)),
+            "_free": F.coalesce(col("price_status") == "free", F.lit(False)),
+            "_sek": known_sek(),
+            "_trust": trust_points(),
+            "_sources": F.size(F.array_distinct("source_names")),
+            "_broken": is_restricted(),
+            "_demo": F.coalesce(col("is_demo"), F.lit(False)),
+        }
+    )
+
+
+def runs_in(lo: dt.date, hi: dt.date) -> Column:
+    """`period_matches` over the prepared columns."""
+    from_day, to_day = F.greatest(col("_d0"), F.lit(lo)), F.least(col("_d1"), F.lit(hi))
+    days_off = F.size(F.filter("_off", lambda d: d.between(from_day, to_day)))
+    return (col("_d0") <= F.lit(hi)) & (col("_d1") >= F.lit(lo)) & (
+        col("_off").isNull() | (F.datediff(to_day, from_day) + 1 > days_off)
+    )
+
+
 def query_matches(query: str) -> Column:
     q = search_text_py(query)
     return F.contains(F.col("s_all"), F.lit(q)) if q else F.lit(True)
@@ -133,19 +164,22 @@ def trust_points() -> Column:
 
 
 def rank_columns(request: SearchRequest, distance: Column) -> dict[str, Column]:
-    """score, reasons (three at most) and distance of one listing for one request."""
-    days = days_until("start_date", request.today)
-    q, p, t = query_points(request.query), price_points(request.price), trust_points()
+    """score, reasons (three at most) and distance of one listing for one request; needs `with_request_columns`."""
+    days, sek, t = col("_days"), col("_sek"), col("_trust")
+    q = query_points(request.query)
     interest, interest_reason = interest_points(request.interests)
-    raw = q + interest + distance_points(distance) + time_points(days) + p + t
-    raw = raw - F.when(F.coalesce(col("is_demo"), F.lit(False)), 100).otherwise(0)
-    n_src = F.size(F.array_distinct(col("source_names")))
-    trust_reason = F.when(t == 5, F.concat(F.lit("sources: "), F.when(n_src > 0, n_src).otherwise(2).cast("string")))
+    limit = vocab.PRICE_LIMITS.get(request.price)
+    within = F.when(sek <= limit * 0.5, 10).otherwise(5) if limit else F.lit(2)
+    p = F.when(col("_free"), 14).when(sek.isNotNull(), within).otherwise(0)
+    raw = q + interest + distance_points(distance) + time_points(days) + p + t - F.when(col("_demo"), 100).otherwise(0)
+    score = F.when(col("_broken"), F.least(raw, F.lit(vocab.QUALITY_SCORE_CAP))).otherwise(raw)
+    trust_reason = F.when(t == 5, F.concat(F.lit("sources: "), F.when(col("_sources") > 0, col("_sources")).otherwise(2).cast("string")))
     parts = (_query_reason(q), interest_reason, _distance_reason(distance), _time_reason(days), _price_reason(p), trust_reason)
-    reasons = codes(*[(part.isNotNull(), part) for part in parts])
-    broken = is_restricted()
-    reasons = F.when(broken, F.concat(F.slice(reasons, 1, 2), F.array(F.lit("incomplete_core")))).otherwise(F.slice(reasons, 1, 3))
-    return {"score": gate_score(raw).cast("int"), "reasons": reasons, "distance_km": distance}
+    # Nulls are skipped by the join, so three parts at most survive the split.
+    found = F.split(F.concat_ws("\u0001", *parts), "\u0001")
+    found = F.array_remove(found, "")
+    reasons = F.when(col("_broken"), F.concat(F.slice(found, 1, 2), F.array(F.lit("incomplete_core")))).otherwise(F.slice(found, 1, 3))
+    return {"score": score.cast("int"), "reasons": reasons, "distance_km": distance}
 
 
 # --- importance and travel ---------------------------------------------------

@@ -131,9 +131,8 @@ def coverage_frontier(listings: DataFrame, today: dt.date, horizons=(30, 60, 90)
     """Thin and missing segments.  Counts per horizon, source diversity over the longest one."""
     longest = max(horizons)
     day = parse_day("start_date")
-    end = F.lit(today + dt.timedelta(days=longest))
     rows = (
-        listings.filter(~F.coalesce("is_demo", F.lit(False)) & day.between(F.lit(today), end))
+        upcoming(listings, today, longest)
         .select(day.alias("day"), clean_names("source_names").alias("names"), F.explode(frontier_segments()).alias("segment"))
     )
     within = lambda h: F.count_if(F.col("day") <= F.lit(today + dt.timedelta(days=h)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playbill import vocab
 from playbill.functions import dates, geo, scoring, showtimes
 from playbill.functions.classify import sport_allowed
 from playbill.functions.quality import noise_severity
@@ -54,12 +55,14 @@ def request_matches(r: SearchRequest, distance: Column, *, when=None, radius=Non
     price = r.price if price is None else price
     radius = r.radius_km if radius is None else radius
     only_new = r.only_new if only_new is None else only_new
-    cond = dates.period_matches("start_date", "end_date", "excluded_dates", when, r.today)
+    cond = scoring.runs_in(*dates.window_of(when, r.today))
     if r.type_filter:
         cond = cond & (F.col("event_type") == r.type_filter)
     if only_new:
         cond = cond & F.coalesce(F.col("is_new"), F.lit(False))
-    cond = cond & scoring.price_matches(price)
+    limit = vocab.PRICE_LIMITS.get(price)
+    if limit is not None:
+        cond = cond & (F.col("_free") if limit == 0 else F.col("_free") | F.coalesce(F.col("_sek") <= limit, F.lit(False)))
     if r.origin_city and radius is not None:
         cond = cond & F.coalesce(distance <= radius, F.lit(False))
     if r.query:
@@ -77,13 +80,24 @@ def _distances(df: DataFrame, requests) -> tuple[DataFrame, dict]:
     return df.withColumns({names[o]: geo.distance_km(lat, lon, o) for o in origins}), names
 
 
+def prepare(listings: DataFrame, requests) -> tuple[DataFrame, dict]:
+    """Request columns, location and distances; rows outside every request's period are dropped first."""
+    windows = [dates.window_of(r.when, r.today) for r in requests]
+    latest = max(hi for _, hi in windows)
+    days = {r.today for r in requests}
+    if len(days) != 1:
+        raise ValueError("requests of one evaluation share their day")
+    soon = listings.filter(F.col("start_date") <= latest.isoformat())
+    return _distances(with_location(scoring.with_request_columns(soon, days.pop())), requests)
+
+
 def _km(names, r: SearchRequest) -> Column:
     return F.col(names[r.origin_city]) if r.origin_city else F.lit(None).cast("int")
 
 
 def score_requests(listings: DataFrame, requests: list[SearchRequest], keep=()) -> DataFrame:
     """One row per (request, matching listing) with score, reasons and distance."""
-    df, names = _distances(with_location(scoring.with_search_columns(listings)), requests)
+    df, names = prepare(listings, requests)
     hits = {}
     for i, r in enumerate(requests):
         ranked = scoring.rank_columns(r, _km(names, r))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playbill import vocab
-from playbill.functions import scoring
 from playbill.functions.scoring import SearchRequest
 from playbill.operators import ranking
 
@@ -44,14 +43,10 @@ def scenarios(r: SearchRequest) -> list[Scenario]:
     return [Scenario(replace(q, request_id=f"{r.request_id}|{kind}|{step}"), r.request_id, kind, step) for kind, step, q in made]
 
 
-def _prepare(listings: DataFrame, requests):
-    return ranking._distances(ranking.with_location(scoring.with_search_columns(listings)), requests)
-
-
 def scenario_hits(listings: DataFrame, requests: list[SearchRequest]) -> DataFrame:
     """(request_id, kind, step, hits) of every scenario, zero counts included."""
-    df, names = _prepare(listings, requests)
     plans = [s for r in requests for s in scenarios(r)]
+    df, names = ranking.prepare(listings, [s.request for s in plans])
     counts = df.agg(*[F.count_if(ranking.request_matches(s.request, ranking._km(names, s.request))).alias(f"n{i}") for i, s in enumerate(plans)])
     rows = F.array(
         *[

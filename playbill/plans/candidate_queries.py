@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from playbill.operators import candidates, evidence
 from playbill.plans.registry import query
-from playbill.plans.td import TODAY, table, td, with_td
+from playbill.plans.td import TODAY, table, with_td, listings
 
 
 def _snapshots(spark, sf):
@@ -60,7 +60,7 @@ _AUDIT = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003", "Sup
 SELECT x.source, count(c.source) AS candidate_events, count(*) FILTER (n = 1) AS unique_events, count(*) FILTER (n > 1) AS overlap_events, coalesce(string_agg(DISTINCT event_type, '|' ORDER BY event_type), '') AS event_types
 FROM (VALUES {', '.join(f"('{s}')" for s in _AUDIT)}) x(source) LEFT JOIN c ON x.source = c.source GROUP BY x.source"""))
 def candidate_value_audit(spark, sf):
-    df = td(spark, sf)
+    df = listings(spark, sf)
     out = candidates.candidate_value_audit(df, df, df, _AUDIT, TODAY)
     return out.select("source", "candidate_events", "unique_events", "overlap_events", F.array_join("event_types", "|").alias("event_types"))
 

@@ -10,7 +10,7 @@ from playbill.functions import booking, classify, quality, scoring
 from playbill.functions.text import clean_names, words
 from playbill.operators import booking_reports, catalogue
 from playbill.plans.registry import query
-from playbill.plans.td import TODAY, table, td, with_td
+from playbill.plans.td import TODAY, table, with_td, listings
 
 _UP = "start_d BETWEEN DATE '1998-06-01' AND DATE '1998-07-01' AND NOT is_demo"
 _LOCAL = [f"Supplier#{i:09d}" for i in range(0, 40, 3)]
@@ -32,12 +32,12 @@ SELECT count(*) AS listings, count(*) FILTER (source_count > 1) AS multi_source,
   count(*) FILTER (data_quality = 'partial') AS partial, count(*) FILTER (data_quality = 'review') AS needs_review, CAST(30 AS INTEGER) AS horizon_days
 FROM td WHERE {_UP}"""))
 def coverage_snapshot(spark, sf):
-    return catalogue.coverage_snapshot(td(spark, sf), TODAY).drop("duplicate_candidates")
+    return catalogue.coverage_snapshot(listings(spark, sf), TODAY).drop("duplicate_candidates")
 
 
 @query("coverage_sources", with_td(f"SELECT s AS source, count(*) AS listings FROM (SELECT unnest(source_names) AS s FROM td WHERE {_UP}) GROUP BY s"))
 def coverage_sources(spark, sf):
-    return catalogue.coverage_sources(td(spark, sf), TODAY)
+    return catalogue.coverage_sources(listings(spark, sf), TODAY)
 
 
 @query("source_value", with_td(f"""
@@ -47,14 +47,14 @@ SELECT source, represented, unique_listings, overlap_listings, round(unique_list
 FROM (SELECT s AS source, count(*) AS represented, count(*) FILTER (n = 1) AS unique_listings, count(*) FILTER (n > 1) AS overlap_listings
   FROM (SELECT unnest(source_names) AS s, len(source_names) AS n FROM td WHERE {_UP}) GROUP BY s)"""))
 def source_value(spark, sf):
-    return catalogue.source_value(td(spark, sf), TODAY).withColumn("unique_share_percent", F.round("unique_share_percent", 6))
+    return catalogue.source_value(listings(spark, sf), TODAY).withColumn("unique_share_percent", F.round("unique_share_percent", 6))
 
 
 @query("source_value_totals", with_td(f"""
 SELECT count(*) AS listings, count(*) FILTER (source_count = 1) AS sole_source, count(*) FILTER (source_count > 1) AS multi_source
 FROM td WHERE {_UP} AND source_count > 0"""))
 def source_value_totals(spark, sf):
-    return catalogue.source_value_totals(td(spark, sf), TODAY)
+    return catalogue.source_value_totals(listings(spark, sf), TODAY)
 
 
 @query("source_overlap_pairs", with_td(f"""
@@ -62,7 +62,7 @@ SELECT a.s AS source_a, b.s AS source_b, count(*) AS shared_listings
 FROM (SELECT id, unnest(source_names) AS s FROM td WHERE {_UP}) a JOIN (SELECT id, unnest(source_names) AS s FROM td WHERE {_UP}) b
   ON a.id = b.id AND a.s < b.s GROUP BY a.s, b.s"""))
 def source_overlap_pairs(spark, sf):
-    return catalogue.source_overlap_pairs(td(spark, sf), TODAY)
+    return catalogue.source_overlap_pairs(listings(spark, sf), TODAY)
 
 
 @query("local_audit", with_td(f"""
@@ -73,7 +73,7 @@ SELECT source, count(*) AS represented, count(*) FILTER (n = 1) AS unique_listin
   round(count(*) FILTER (n = 1) / count(*), 9) AS unique_share
 FROM (SELECT *, unnest(source_names) AS source, len(source_names) AS n FROM td WHERE {_UP}) WHERE source IN ({_LOCAL_SQL}) GROUP BY source"""))
 def local_audit(spark, sf):
-    out = catalogue.local_audit(td(spark, sf), TODAY, sources=_LOCAL)
+    out = catalogue.local_audit(listings(spark, sf), TODAY, sources=_LOCAL)
     return out.select(
         "source", "represented", "unique_listings", "overlap_listings", F.col("category_count").cast("bigint").alias("category_count"),
         F.col("unique_category_count").cast("bigint").alias("unique_category_count"), F.array_join("categories", "|").alias("categories"), "bookable",
@@ -117,7 +117,7 @@ SELECT segment, coalesce(matched, 0) AS matched, coalesce(listings_30, 0) AS lis
   CASE WHEN coalesce(listings_30, 0) >= 4 AND coalesce(source_diversity, 0) >= 2 THEN 'good' WHEN coalesce(matched, 0) > 0 THEN 'thin' ELSE 'missing' END AS status
 FROM seg LEFT JOIN cnt USING (segment) LEFT JOIN src USING (segment)"""))
 def coverage_frontier(spark, sf):
-    out = catalogue.coverage_frontier(_frontier_titles(td(spark, sf)), TODAY)
+    out = catalogue.coverage_frontier(_frontier_titles(listings(spark, sf)), TODAY)
     return out.select("segment", "matched", "listings_30", "listings_60", "listings_90", "source_diversity", "status")
 
 
@@ -143,7 +143,7 @@ SELECT source, represented, single_source, start_time_listings, end_time_listing
     CASE WHEN cv < 0.7 THEN 'place_needs_work' END, CASE WHEN cp < 0.2 THEN 'price_often_missing' END, CASE WHEN pr = 0 THEN 'limited_details' END), ''), 'even_base_data') END AS flags
 FROM p"""))
 def detail_coverage(spark, sf):
-    out = catalogue.detail_coverage(td(spark, sf), TODAY)
+    out = catalogue.detail_coverage(listings(spark, sf), TODAY)
     return out.select(
         "source", "represented", "single_source", *[f"{f}_listings" for f in catalogue._COVERED],
         F.round("start_time_coverage", 9).alias("start_time_coverage"), F.array_join("flags", ",").alias("flags"),
@@ -155,7 +155,7 @@ SELECT count(*) AS listings, round(avg(CAST(h_start AS INT)), 9) AS start_time_c
   round(avg(CAST(h_pvenue AS INT)), 9) AS precise_venue_coverage, round(avg(CAST(h_price AS INT)), 9) AS price_coverage,
   round(avg(CAST(h_book AS INT)), 9) AS booking_coverage FROM (SELECT {_HAS} FROM td WHERE {_UP})"""))
 def detail_summary(spark, sf):
-    out = catalogue.detail_summary(td(spark, sf), TODAY)
+    out = catalogue.detail_summary(listings(spark, sf), TODAY)
     return out.select("listings", *[F.round(f"{c}_coverage", 9).alias(f"{c}_coverage") for c in ("start_time", "end_time", "precise_venue", "price", "booking")])
 
 
@@ -168,7 +168,7 @@ SELECT * FROM (SELECT source, field, missing, single_missing, round_even(c * 100
   WHEN single_source >= 3 AND single_missing >= 3 AND c < 0.5 THEN 'high' WHEN missing >= 5 AND c < 0.5 THEN 'high_multi_source'
   WHEN (single_missing >= 2 OR missing >= 3) AND c < 0.75 THEN 'medium' ELSE 'low' END AS priority FROM g) WHERE priority <> 'low'"""))
 def gap_priorities(spark, sf):
-    out = catalogue.gap_priorities(catalogue.detail_coverage(td(spark, sf), TODAY))
+    out = catalogue.gap_priorities(catalogue.detail_coverage(listings(spark, sf), TODAY))
     return out.select("source", "field", "missing", "single_missing", "coverage_pct", "priority")
 
 
@@ -179,7 +179,7 @@ SELECT id, title, start_date AS date, coalesce(start_time, '') AS start_time, co
 FROM td WHERE {_UP} AND list_contains(source_names, 'Supplier#000000003') AND end_min IS NULL
 ORDER BY source_count > 1, start_date, coalesce(start_time, '99:99'), lower(title), ingest_ord LIMIT 50"""))
 def gap_cases(spark, sf):
-    out = catalogue.gap_cases(td(spark, sf), "Supplier#000000003", "end_time", TODAY)
+    out = catalogue.gap_cases(listings(spark, sf), "Supplier#000000003", "end_time", TODAY)
     return out.select("id", "title", "date", "start_time", "url", "url_basis", F.col("source_count").cast("bigint").alias("source_count"), "sources", "clean_attribution")
 
 
@@ -198,7 +198,7 @@ def _health(spark, sf):
     rows = table(spark, sf, "supplier").select(
         F.col("s_name").alias("source"), status.alias("status"), F.when(k % 10 == 4, 0).otherwise(k).cast("int").alias("imported"), F.lit("").alias("comment")
     )
-    return catalogue.source_health(rows, td(spark, sf))
+    return catalogue.source_health(rows, listings(spark, sf))
 
 
 @query("source_health", with_td(f"{_STATUS_SQL} SELECT source, imported, state FROM health"))
@@ -224,13 +224,13 @@ _GATE_SQL = """g AS (SELECT id, title, start_date, concat_ws(',', CASE WHEN trim
 
 @query("quality_gate", with_td(f"{_GATE_SQL} SELECT CASE WHEN r <> '' THEN 'restricted' WHEN v <> '' THEN 'review' ELSE 'pass' END AS level, count(*) AS listings FROM g GROUP BY 1"))
 def quality_gate(spark, sf):
-    return catalogue.quality_counts(td(spark, sf))
+    return catalogue.quality_counts(listings(spark, sf))
 
 
 @query("quality_rows", with_td(f"""{_GATE_SQL} SELECT id, title, start_date, CASE WHEN r <> '' THEN 'restricted' ELSE 'review' END AS level,
   CASE WHEN r <> '' AND v <> '' THEN r || ',' || v ELSE r || v END AS reasons FROM g WHERE r <> '' OR v <> ''"""))
 def quality_rows(spark, sf):
-    return catalogue.quality_rows(td(spark, sf)).select("id", "title", "start_date", "level", F.array_join("reasons", ",").alias("reasons"))
+    return catalogue.quality_rows(listings(spark, sf)).select("id", "title", "start_date", "level", F.array_join("reasons", ",").alias("reasons"))
 
 
 def _documents_as_listings(spark, sf):
@@ -246,7 +246,7 @@ def _documents_as_listings(spark, sf):
 s AS (SELECT CASE WHEN t = '' OR t IN ('event', 'program', 'kalender') THEN 'high' WHEN length(t) <= 3 THEN 'review' ELSE 'none' END AS sev, CASE WHEN len(source_names) = 0 THEN ['Okänd källa'] ELSE source_names END AS names FROM n)
 SELECT source, count(*) FILTER (sev = 'high') AS high_noise, count(*) FILTER (sev = 'review') AS review FROM (SELECT sev, unnest(names) AS source FROM s WHERE sev <> 'none') GROUP BY source"""))
 def noise_by_source(spark, sf):
-    return catalogue.noise_by_source(td(spark, sf))
+    return catalogue.noise_by_source(listings(spark, sf))
 
 
 @query("noise_documents", """WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title FROM documents),
@@ -261,12 +261,12 @@ SELECT id, CASE WHEN t = '' THEN 'title_missing' WHEN length(t) < 4 THEN 'very_s
   concat_ws(',', CASE WHEN venue = '' AND city = '' THEN 'place_missing' END, CASE WHEN venue = '' AND city <> '' THEN 'venue_missing' END,
     CASE WHEN start_min IS NULL AND venue = '' THEN 'time_and_venue_missing' END, CASE WHEN official_url IS NULL AND ticket_url IS NULL THEN 'no_link' END) AS issues FROM n"""))
 def title_and_metadata_issues(spark, sf):
-    return td(spark, sf).select("id", quality.title_issue().alias("title_issue"), F.array_join(quality.metadata_issues(), ",").alias("issues"))
+    return listings(spark, sf).select("id", quality.title_issue().alias("title_issue"), F.array_join(quality.metadata_issues(), ",").alias("issues"))
 
 
 @query("precise_venue", with_td(f"SELECT venue, city, h_pvenue AS precise, count(*) AS n FROM (SELECT venue, city, {_HAS} FROM td) GROUP BY ALL"))
 def precise_venue(spark, sf):
-    return td(spark, sf, items=False).groupBy("venue", "city", quality.has_precise_venue().alias("precise")).agg(F.count("*").alias("n"))
+    return listings(spark, sf).groupBy("venue", "city", quality.has_precise_venue().alias("precise")).agg(F.count("*").alias("n"))
 
 
 _CTA_SQL = """c AS (SELECT id, source_names, booking_url, ticket_url, official_url, coalesce(booking_url, ticket_url, official_url) AS url,
@@ -277,7 +277,7 @@ q AS (SELECT *, CASE WHEN url IS NULL THEN 'missing' WHEN kind = 'info' AND rege
 
 @query("cta_quality", with_td(f"{_CTA_SQL} SELECT id, url, CASE WHEN url IS NOT NULL THEN kind END AS kind, status FROM q"))
 def cta_quality(spark, sf):
-    df = booking.with_cta(td(spark, sf, items=False))
+    df = booking.with_cta(listings(spark, sf))
     return df.select("id", F.col("cta.url").alias("url"), F.col("cta.kind").alias("kind"), F.col("cta_quality").alias("status"))
 
 
@@ -288,7 +288,7 @@ a AS (SELECT *, CASE WHEN h = 'ticketmaster.se' THEN 'Ticketmaster' WHEN h = 'se
 
 @query("partner_report", with_td(f"{_CTA_SQL}, {_PARTNER_SQL} SELECT partner_key, partner, 'unassessed' AS affiliate_status, partner_key = 'direct' AS direct, count(*) AS bookable_listings FROM a WHERE l IS NOT NULL GROUP BY ALL"))
 def partner_report(spark, sf):
-    return booking_reports.partner_report(td(spark, sf, items=False))
+    return booking_reports.partner_report(listings(spark, sf))
 
 
 @query("booking_coverage", with_td(f"""{_CTA_SQL}, {_PARTNER_SQL}, x AS (SELECT unnest(CASE WHEN len(source_names) = 0 THEN ['Okänd källa'] ELSE source_names END) AS source, status, partner FROM a)
@@ -297,7 +297,7 @@ SELECT source, count(*) AS total, count(*) FILTER (status = 'bookable') AS booka
   count(*) FILTER (status = 'missing') AS missing, round(count(*) FILTER (status = 'bookable') / count(*), 9) AS booking_coverage, any_value(coalesce(partners, '')) AS partners
 FROM x LEFT JOIN m USING (source) GROUP BY source"""))
 def booking_coverage(spark, sf):
-    out = booking_reports.booking_coverage(td(spark, sf))
+    out = booking_reports.booking_coverage(listings(spark, sf))
     text = F.array_join(F.transform("partners", lambda p: F.concat_ws(":", p["name"], p["bookable"].cast("string"))), ",")
     return out.select("source", "total", "bookable", "useful", "weak", "missing", F.round("booking_coverage", 9).alias("booking_coverage"), text.alias("partners"))
 
@@ -305,7 +305,7 @@ def booking_coverage(spark, sf):
 @query("booking_totals", with_td(f"""{_CTA_SQL}, x AS (SELECT unnest(CASE WHEN len(source_names) = 0 THEN ['Okänd källa'] ELSE source_names END) AS source, status FROM q)
 SELECT count(*) AS total, count(*) FILTER (status = 'bookable') AS bookable, round(count(*) FILTER (status = 'bookable') / count(*), 9) AS booking_coverage FROM x"""))
 def booking_totals(spark, sf):
-    return booking_reports.booking_totals(booking_reports.booking_coverage(td(spark, sf))).select(
+    return booking_reports.booking_totals(booking_reports.booking_coverage(listings(spark, sf))).select(
         "total", "bookable", F.round("booking_coverage", 9).alias("booking_coverage")
     )
 
@@ -350,14 +350,14 @@ SELECT id, CASE WHEN NOT (declared OR ind OR team) THEN true WHEN ind THEN false
 def sport_scope(spark, sf):
     k7 = F.col("ingest_ord") % 7
     title = F.when(k7 == 0, "fotboll derby").when(k7 == 1, "badminton open").when(k7 == 2, "konsert").when(k7 == 3, "golf och hockey").otherwise(F.col("title"))
-    df = td(spark, sf).withColumns({"title": title, "event_type": F.when(k7 == 4, "Sport").otherwise(F.col("event_type"))})
+    df = listings(spark, sf).withColumns({"title": title, "event_type": F.when(k7 == 4, "Sport").otherwise(F.col("event_type"))})
     return df.select("id", classify.sport_allowed().alias("allowed"))
 
 
 @query("themes", with_td("""SELECT CASE WHEN c LIKE '%rock%' OR c LIKE '%pop%' THEN 'music' WHEN c LIKE '%mat%' THEN 'food' WHEN c LIKE '%promo%' THEN 'other' ELSE 'other' END AS theme, count(*) AS n
 FROM (SELECT lower(event_type || ' ' || category || ' ' || array_to_string(tags, ' ')) AS c FROM td) GROUP BY 1"""))
 def themes(spark, sf):
-    return td(spark, sf).select(classify.theme()["theme"].alias("theme")).groupBy("theme").agg(F.count("*").alias("n"))
+    return listings(spark, sf).select(classify.theme()["theme"].alias("theme")).groupBy("theme").agg(F.count("*").alias("n"))
 
 
 @query("source_trust", """SELECT s_name AS source, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 3 WHEN s_suppkey % 4 = 1 THEN 2 ELSE 1 END AS INTEGER) AS trust FROM supplier""")
@@ -369,7 +369,7 @@ def source_trust(spark, sf):
 
 @query("verification", with_td("SELECT CASE WHEN source_count >= 2 THEN 'confirmed_by_' || source_count WHEN data_quality = 'review' THEN 'needs_review' ELSE 'check_source' END AS label, count(*) AS n FROM td GROUP BY 1"))
 def verification(spark, sf):
-    return td(spark, sf).groupBy(scoring.verification_label().alias("label")).agg(F.count("*").alias("n"))
+    return listings(spark, sf).groupBy(scoring.verification_label().alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("array_sets", with_td("""SELECT id, list_sort(list_distinct(list_concat(source_names, tags))) = list_sort(list_distinct(list_concat(tags, source_names))) AS same,
@@ -377,7 +377,7 @@ def verification(spark, sf):
 def array_sets(spark, sf):
     low = F.filter("source_names", lambda x: x < "Supplier#000000050")
     both = lambda a, b: F.array_sort(F.array_union(a, b))
-    return td(spark, sf).select(
+    return listings(spark, sf).select(
         "id", (both("source_names", "tags") == both("tags", "source_names")).alias("same"), F.size(F.array_intersect(clean_names("source_names"), low)).cast("bigint").alias("low_names")
     )
 

@@ -10,7 +10,7 @@ from playbill.functions import dates, geo, labels, scoring, showtimes
 from playbill.functions.scoring import SearchRequest
 from playbill.operators import catalogue, ranking, relaxation
 from playbill.plans.registry import query
-from playbill.plans.td import NOW, TODAY, table, td, with_td
+from playbill.plans.td import NOW, TODAY, table, with_td, listings
 
 REQUESTS = [
     SearchRequest("near_orebro", TODAY, NOW, "Örebro", "next_30_days", 200),
@@ -81,12 +81,12 @@ ranked AS (SELECT *, CASE WHEN venue = '' AND city = '' THEN least(score0, 18) E
 
 
 def _visible(spark, sf):
-    return ranking.visible(td(spark, sf), TODAY)
+    return ranking.visible(listings(spark, sf), TODAY)
 
 
 @query("ranked_search", with_td(f"""{SEARCH_SQL}
 SELECT request_id, id, score, CAST(km AS INTEGER) AS distance_km, CAST(row_number() OVER w AS INTEGER) AS position FROM ranked
-QUALIFY row_number() OVER w <= 50 WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, start_date, lower(title), ingest_ord)"""))
+WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, start_date, lower(title), ingest_ord) QUALIFY row_number() OVER w <= 50"""))
 def ranked_search(spark, sf):
     top = ranking.rank_top(ranking.score_requests(_visible(spark, sf), REQUESTS), 50)
     return top.select("request_id", "id", "score", "distance_km", "position")
@@ -137,7 +137,7 @@ def relaxed_suggestions(spark, sf):
 
 @query("text_search", with_td(f"SELECT id FROM td WHERE contains({norm_sql('title')} || '|' || {norm_sql('city')}, 'orebro') OR contains({norm_sql('title')}, 'blue')"))
 def text_search(spark, sf):
-    df = scoring.with_search_columns(td(spark, sf))
+    df = scoring.with_search_columns(listings(spark, sf))
     return df.filter(F.contains(F.concat_ws("|", "s_title", "s_place_c"), F.lit("orebro")) | F.contains("s_title", F.lit("blue"))).select("id")
 
 
@@ -148,17 +148,17 @@ SELECT id FROM p WHERE a <= b AND (b - a + 1) > (CASE WHEN excludes_start AND st
 
 @query("period_filter", with_td(_period_sql("1998-06-01", "1998-06-08")))
 def period_filter(spark, sf):
-    return td(spark, sf, items=False).filter(dates.period_matches("start_date", "end_date", "excluded_dates", "next_7_days", TODAY)).select("id")
+    return listings(spark, sf).filter(dates.period_matches("start_date", "end_date", "excluded_dates", "next_7_days", TODAY)).select("id")
 
 
 @query("weekend_filter", with_td(_period_sql("1998-06-06", "1998-06-07")))
 def weekend_filter(spark, sf):
-    return ranking.this_weekend(td(spark, sf, items=False), TODAY).select("id")
+    return ranking.this_weekend(listings(spark, sf), TODAY).select("id")
 
 
 @query("price_filter", with_td("SELECT id, price_status FROM td WHERE price_status = 'free' OR (price_status = 'known' AND currency = 'SEK' AND price_min >= 0 AND price_min <= 250)"))
 def price_filter(spark, sf):
-    return td(spark, sf, items=False).filter(scoring.price_matches("max_250")).select("id", "price_status")
+    return listings(spark, sf).filter(scoring.price_matches("max_250")).select("id", "price_status")
 
 
 _SEEN = "SELECT CAST(user_id AS VARCHAR) AS event_id, min(ts) AS first_seen_at FROM events GROUP BY user_id"
@@ -167,13 +167,13 @@ _SEEN = "SELECT CAST(user_id AS VARCHAR) AS event_id, min(ts) AS first_seen_at F
 @query("new_only", with_td(f"seen AS ({_SEEN}) SELECT id FROM td JOIN seen ON id = event_id WHERE first_seen_at >= TIMESTAMP '2024-01-01 12:00:00' AND NOT is_demo"))
 def new_only(spark, sf):
     seen = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.min("ts").alias("first_seen_at"))
-    df = td(spark, sf, items=False).join(seen, "id", "left")
+    df = listings(spark, sf).join(seen, "id", "left")
     return df.filter(ranking.is_new(F.col("first_seen_at"), dt.datetime(2024, 1, 8, 12))).select("id")
 
 
 @query("geo_distance", with_td(f"{GEO_SQL} SELECT id, confidence, round(lat, 6) AS lat, {km_sql(59.2753, 15.2134)} AS distance_km FROM geo"))
 def geo_distance(spark, sf):
-    df = ranking.with_location(td(spark, sf, items=False))
+    df = ranking.with_location(listings(spark, sf))
     return df.select("id", F.col("loc.confidence").alias("confidence"), F.round("loc.lat", 6).alias("lat"), geo.distance_km(F.col("loc.lat"), F.col("loc.lon"), "Örebro").alias("distance_km"))
 
 
@@ -185,26 +185,26 @@ _SHOW = """t AS (SELECT *, (start_d - DATE '1998-06-01') * 1440 + start_min - 99
   WHEN dd = 0 AND mins BETWEEN 0 AND 90 THEN 'soon' WHEN dd = 0 AND mins > 90 AND start_min >= 1020 THEN 'tonight' WHEN dd = 0 AND mins > 90 THEN 'later_today' WHEN dd = 0 THEN 'started'
   WHEN dd = 1 THEN 'tomorrow' END AS status FROM t"""))
 def showtime_status(spark, sf):
-    return td(spark, sf, items=False).select("id", showtimes.status(NOW).alias("status"))
+    return listings(spark, sf).select("id", showtimes.status(NOW).alias("status"))
 
 
 @query("last_minute", with_td(f"{_SHOW} SELECT id, CAST(mins AS INTEGER) AS minutes, CASE WHEN mins < 60 THEN 'in ' || mins || ' min' WHEN mins % 60 = 0 THEN 'in ' || mins // 60 || ' h' ELSE 'in ' || mins // 60 || ' h ' || mins % 60 || ' min' END AS label FROM t WHERE mins BETWEEN 30 AND 180"))
 def last_minute(spark, sf):
-    df = td(spark, sf, items=False).withColumn("lm", showtimes.last_minute(NOW)).filter(F.col("lm").isNotNull())
+    df = listings(spark, sf).withColumn("lm", showtimes.last_minute(NOW)).filter(F.col("lm").isNotNull())
     return df.select("id", F.col("lm.minutes").alias("minutes"), F.col("lm.label").alias("label"))
 
 
 @query("go_now", with_td(f"""{_SHOW}, {GEO_SQL.replace('FROM td', 'FROM t').replace('td.', 't.')}, k AS (SELECT *, {km_sql(59.2753, 15.2134)} AS km FROM geo WHERE mins BETWEEN 45 AND 240)
 SELECT id, CASE WHEN km <= 10 THEN 'near' WHEN km <= 25 AND mins >= 75 THEN 'fairly_near' WHEN km <= 50 AND mins >= 120 THEN 'further_away' END AS band FROM k WHERE km <= 10 OR (km <= 25 AND mins >= 75) OR (km <= 50 AND mins >= 120)"""))
 def go_now(spark, sf):
-    df = ranking.with_location(td(spark, sf, items=False))
+    df = ranking.with_location(listings(spark, sf))
     df = df.withColumn("band", showtimes.go_now_band(NOW, geo.distance_km(F.col("loc.lat"), F.col("loc.lon"), "Örebro")))
     return df.filter(F.col("band").isNotNull()).select("id", "band")
 
 
 @query("evening", with_td(f"{_SHOW} SELECT id FROM t WHERE dd = 0 AND start_min >= 1020 AND mins >= 0"))
 def evening(spark, sf):
-    return td(spark, sf, items=False).filter(showtimes.evening_match(NOW)).select("id")
+    return listings(spark, sf).filter(showtimes.evening_match(NOW)).select("id")
 
 
 _IMP = "(CASE WHEN source_count > 1 THEN least(10, 4 + 2 * source_count) ELSE 0 END)"
@@ -213,19 +213,19 @@ _IMP = "(CASE WHEN source_count > 1 THEN least(10, 4 + 2 * source_count) ELSE 0
 @query("importance_topk", with_td(f"""SELECT id, CAST({_IMP} + CASE WHEN event_type = '1-URGENT' THEN 20 ELSE 0 END - CASE WHEN is_demo THEN 30 ELSE 0 END AS INTEGER) AS score FROM td
 WHERE {_IMP} + CASE WHEN event_type = '1-URGENT' THEN 20 ELSE 0 END - CASE WHEN is_demo THEN 30 ELSE 0 END > 0 ORDER BY 2 DESC, start_date, ingest_ord LIMIT 12"""))
 def importance_topk(spark, sf):
-    return ranking.recommended(td(spark, sf), ["1-urgent"]).select("id", "score")
+    return ranking.recommended(listings(spark, sf), ["1-urgent"]).select("id", "score")
 
 
 @query("worth_a_trip", with_td(f"""{GEO_SQL}, k AS (SELECT *, {km_sql(59.2753, 15.2134)} AS km, start_d - DATE '1998-06-01' AS days FROM geo),
 s AS (SELECT *, {_IMP} + CASE WHEN km < 80 THEN -8 WHEN km <= 250 THEN 12 WHEN km <= 550 THEN 8 WHEN km > 700 THEN -10 ELSE 0 END + CASE WHEN days BETWEEN 10 AND 120 THEN 8 WHEN days > 365 THEN -4 ELSE 0 END - CASE WHEN is_demo THEN 40 ELSE 0 END AS sc FROM k)
 SELECT id, CAST(sc AS INTEGER) AS score, km AS distance_km FROM s WHERE km >= 80 AND sc > 8 ORDER BY sc DESC, start_date, ingest_ord LIMIT 8"""))
 def worth_a_trip(spark, sf):
-    return ranking.worth_a_trip(td(spark, sf), "Örebro", [], TODAY).select("id", "score", "distance_km")
+    return ranking.worth_a_trip(listings(spark, sf), "Örebro", [], TODAY).select("id", "score", "distance_km")
 
 
 @query("fairs_topk", with_td(f"SELECT id, CAST({_IMP} - CASE WHEN is_demo THEN 30 ELSE 0 END AS INTEGER) AS score FROM td WHERE event_type = '5-LOW' ORDER BY 2 DESC, start_date, ingest_ord LIMIT 10"))
 def fairs_topk(spark, sf):
-    return ranking.big_fairs(td(spark, sf), fair_type="5-LOW").select("id", "score")
+    return ranking.big_fairs(listings(spark, sf), fair_type="5-LOW").select("id", "score")
 
 
 @query("sponsored", with_td(f"""{SEARCH_SQL},
@@ -234,7 +234,7 @@ e AS (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM r WHERE p
 SELECT request_id, id, sponsor_campaign_id AS campaign_id, sponsor_company AS company, sponsor_priority AS priority FROM e
 WHERE is_sponsored AND sponsor_campaign_id IS NOT NULL AND sponsor_company IS NOT NULL AND score >= best - 40"""))
 def sponsored(spark, sf):
-    keep = [c for c in td(spark, sf, items=False).columns if c.startswith(("sponsor", "is_spons"))]
+    keep = [c for c in listings(spark, sf).columns if c.startswith(("sponsor", "is_spons"))]
     ranked = ranking.rank_top(ranking.score_requests(_visible(spark, sf), REQUESTS, keep=keep), 400)
     return ranking.sponsored(ranked, TODAY, "Örebro", [], max_rank=400, gap=40).drop("slot")
 
@@ -258,7 +258,7 @@ def result_pages(spark, sf):
   ELSE CASE start_d - DATE '1998-06-01' WHEN 0 THEN 'Idag' WHEN 1 THEN 'Imorgon' ELSE ['mån','tis','ons','tors','fre','lör','sön'][isodow(start_d)] || ' ' || day(start_d) || ' ' || ['jan','feb','mar','apr','maj','jun','jul','aug','sep','okt','nov','dec'][month(start_d)] END
     || coalesce(' · ' || start_time, '') || coalesce('–' || printf('%02d:%02d', end_min // 60, end_min % 60), '') END AS date FROM td"""))
 def label_texts(spark, sf):
-    return td(spark, sf, items=False).select("id", labels.price_label().alias("price"), labels.place_label().alias("place"), labels.date_label(TODAY).alias("date"))
+    return listings(spark, sf).select("id", labels.price_label().alias("price"), labels.place_label().alias("place"), labels.date_label(TODAY).alias("date"))
 
 
 def _top(spark, sf):

@@ -8,12 +8,14 @@ without line items has no title and no sources.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill import vocab
-from playbill.schema import as_listings
+from playbill.schema import as_listings, listing_type
+from playbill.session import checkpoint_dir
 
 TODAY = dt.date(1998, 6, 1)
 NOW = dt.datetime(1998, 6, 1, 16, 30)
@@ -96,6 +98,24 @@ def td(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
     )
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form of `td`, written once per application as the import pipeline does.
+
+    Files are ranges of start dates, so horizon and period filters skip files by their
+    statistics; queries read only the columns they name.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = f"{checkpoint_dir(spark)}/playbill/listings-{uuid.uuid4().hex}"
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        td(spark, sf_dir).repartitionByRange(files, "start_date").sortWithinPartitions("start_date").write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema(listing_type()).parquet(_WRITTEN[key])
+
+
 _CITY_LIST = ", ".join(f"'{c}'" for c in CITIES)
 
 TD_SQL = f"""
