@@ -1 +1,73 @@
-"""Queries."""
+"""Page extraction queries over the raw page table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from playbill.functions import booking, pages
+from playbill.operators import evidence
+from playbill.plans.registry import query
+from playbill.plans.td import TODAY, table
+from playbill.sources import pages as page_jobs
+from playbill.sources import rules
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+@query("page_facts")
+def page_facts(spark, sf):
+    out = pages.facts(_pages(spark, sf))
+    return out.select("page_id", F.size("lines").alias("lines"), F.size("links").alias("links"), "door_time", "age_limit", "price", "venue", F.col("showtime.start_time").alias("start_time"), F.col("booking.url").alias("booking_url"))
+
+
+@query("page_links", """SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<(script|style|template|noscript)[^>]*>.*?</\\1>', '', 'gs'), '<a\\s[^>]*href')) AS links FROM pages""".replace("\\1>", "(?:script|style|template|noscript)>"))
+def page_links(spark, sf):
+    return _pages(spark, sf).select("page_id", F.size(pages.page_links("html")).cast("bigint").alias("links"))
+
+
+@query("public_urls", r"SELECT page_id, regexp_matches(url, '^(?i)https?://[^/?#]+') AND NOT regexp_matches(lower(url), '^https?://(localhost|[^/?#]*\.local)([/:?#]|$)') AS public FROM pages")
+def public_urls(spark, sf):
+    return _pages(spark, sf).select("page_id", booking.is_public_http("url").alias("public"))
+
+
+@query("page_evidence")
+def page_evidence(spark, sf):
+    facts = pages.facts(_pages(spark, sf))
+    out = None
+    for field in ("start_time", "end_time", "door_time", "age_limit", "price", "precise_venue", "booking"):
+        part = pages.evidence(facts, field).select("page_id", "field", "status", "kind", "value", F.length("snippet").alias("snippet_chars"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("page_replay")
+def page_replay(spark, sf):
+    """The price and start-time extractors with and without their latest rule, on every page."""
+    base = _pages(spark, sf)
+    new, old = pages.facts(base), pages.facts(base, start_marker=False, price_labels=("biljettpris", "entrépris", "pris"))
+    value = lambda df, field, c: df.select("url", F.col("page_id"), F.lit(field).alias("field"), c.cast("string").alias("value"))
+    run = lambda df: value(df, "price", F.col("price")).unionByName(value(df, "start_time", F.col("showtime.start_time")))
+    return evidence.impact_audit(evidence.compare_runs(run(old), run(new), ["page_id", "field"]))
+
+
+@query("page_listings")
+def page_listings(spark, sf):
+    """Every page read as a list page of one of the rule sources."""
+    keys = F.array(*[F.lit(r[0]) for r in rules.RULES])
+    raw = _pages(spark, sf).select(
+        "url", F.element_at(keys, (F.pmod("page_id", F.size(keys)) + 1).cast("int")).alias("source_key"), "html", F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("list").alias("page_kind")
+    )
+    return page_jobs.extract(raw, TODAY).select("id", "title", "start_date", "city", "official_url", "price_status")
+
+
+@query("detail_links")
+def detail_links(spark, sf):
+    raw = _pages(spark, sf).withColumn("source_key", F.lit("orebro_konserthus"))
+    return page_jobs.detail_links(raw, "^https?://")
+
+
+@query("raw_url_hosts", r"SELECT regexp_replace(rtrim(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '.'), '^www\.', '') AS host, count(*) AS pages FROM pages GROUP BY 1")
+def raw_url_hosts(spark, sf):
+    return _pages(spark, sf).groupBy(booking.bare_host("url").alias("host")).agg(F.count("*").alias("pages"))
