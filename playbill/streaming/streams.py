@@ -9,6 +9,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playbill import vocab
 from playbill.functions.text import impression_key
@@ -118,7 +119,7 @@ def conversions_stream(conversions: DataFrame, clicks: DataFrame) -> DataFrame:
 def _signature_ok(secret: str):
     key = secret.encode("utf-8")
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def check(body: pd.Series, signature: pd.Series) -> pd.Series:
         def one(b, s):
             want = base64.urlsafe_b64encode(hmac.new(key, (b or "").encode("utf-8"), hashlib.sha256).digest()).rstrip(b"=").decode("ascii")
