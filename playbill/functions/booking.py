@@ -193,17 +193,3 @@ def absolute_url(page, href) -> Column:
     for _ in range(2):
         tidy = F.regexp_replace(tidy, r"(?<![/:])/[^/?#.]+/\.\./", "/")
     return tidy
-
-
-def link_target(href, page, strength) -> Column:
-    """Absolute booking link when it is safe and specific enough, else null."""
-    raw = F.trim(col(href))
-    target = absolute_url(page, raw)
-    partner = partner_key(bare_host(target)).isNotNull()
-    local = same_site(target, page)
-    ok = (
-        (raw != "") & ~raw.startswith("#") & is_http(target) & ~is_social(target)
-        & (partner | local) & ~is_root(target)
-        & ((col(strength) != "medium") | partner | (local & is_ticketish(target)))
-    )
-    return F.when(ok, target)

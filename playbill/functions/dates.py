@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from playbill import vocab
-from playbill.functions.text import col, txt
+from playbill.functions.text import col, let, txt
 
 FAR = dt.date(9999, 12, 31)
 
@@ -123,78 +123,74 @@ def swedish_range(c, today: dt.date) -> Column:
     """struct(start, end) of the first Swedish date phrase in a text.
 
     Understands '10 september', '28-29 september', '12 maj - 15 augusti', with or
-    without a year and with abbreviated months.
+    without a year and with abbreviated months.  A range across months is preferred to
+    a range within one, and that to a single day.
     """
     text = F.regexp_replace(F.lower(txt(c)), r"[–—›]", "-")
     text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\.", "")
-    m = rf"({_ANY_MONTH})"
-    cross = rf"(?U)\b(\d{{1,2}}) {m} ?- ?(\d{{1,2}}) {m}\b"
-    span = rf"(?U)\b(\d{{1,2}}) ?- ?(\d{{1,2}}) {m}\b"
-    single = rf"(?U)\b(\d{{1,2}}) {m}\b"
-    explicit = _num(text, r"(?U)\b(20\d{2})\b", 1)
-    year = F.coalesce(explicit, F.lit(today.year))
-
-    def pick(day_i, month_i, rx):
-        return make_day(year, month_number(F.regexp_extract(text, rx, month_i)), _num(text, rx, day_i))
-
-    is_cross, is_span, is_single = text.rlike(cross), text.rlike(span), text.rlike(single)
-    start = F.when(is_cross, pick(1, 2, cross)).when(is_span, pick(1, 3, span)).when(is_single, pick(1, 2, single))
-    end = F.when(is_cross, pick(3, 4, cross)).when(is_span, pick(2, 3, span)).when(is_single, start)
-    both = start.isNotNull() & end.isNotNull()
-    start2, end2 = _roll(start, explicit, today, end), _roll(end, explicit, today)
-    end3 = F.when(end2 < start2, make_day(F.year(end2) + 1, F.month(end2), F.dayofmonth(end2))).otherwise(end2)
-    ok = both & start2.isNotNull() & end3.isNotNull()
-    return F.when(ok, F.struct(start2.alias("start"), end3.alias("end")))
+    m = rf"(?:{_ANY_MONTH})"
+    forms = [rf"(?U)\b\d{{1,2}} {m} ?- ?\d{{1,2}} {m}\b", rf"(?U)\b\d{{1,2}} ?- ?\d{{1,2}} {m}\b", rf"(?U)\b\d{{1,2}} {m}\b"]
+
+    def phrase(t):
+        found = F.coalesce(*[F.nullif(F.regexp_extract(t, rx, 0), F.lit("")) for rx in forms])
+        return F.struct(_num(t, r"(?U)\b(20\d{2})\b", 1).alias("year"), found.alias("found"))
+
+    def numbers(p):
+        days, months = F.regexp_extract_all(p["found"], F.lit(r"\d{1,2}"), F.lit(0)), F.regexp_extract_all(p["found"], F.lit(m), F.lit(0))
+        return F.struct(p["year"].alias("year"), F.transform(days, lambda d: d.cast("int")).alias("d"), F.transform(months, month_number).alias("m"))
+
+    def days(n):
+        year = F.coalesce(n["year"], F.lit(today.year))
+        edge = lambda i: make_day(year, F.try_element_at(n["m"], F.lit(i)), F.try_element_at(n["d"], F.lit(i)))
+        return F.struct(n["year"].alias("year"), edge(1).alias("start"), edge(-1).alias("end"))
+
+    def rolled(x):
+        return F.struct(_roll(x["start"], x["year"], today, x["end"]).alias("start"), _roll(x["end"], x["year"], today).alias("end"))
+
+    def ordered(x):
+        over = make_day(F.year(x["end"]) + 1, F.month(x["end"]), F.dayofmonth(x["end"]))
+        return F.struct(x["start"].alias("start"), F.when(x["end"] < x["start"], over).otherwise(x["end"]).alias("end"))
+
+    out = let(let(let(let(let(text, phrase), numbers), days), rolled), ordered)
+    return let(out, lambda x: F.when(x["start"].isNotNull() & x["end"].isNotNull(), x))
 
 
 def numeric_day(c, today: dt.date) -> Column:
     """First d/m or d/m/yyyy in a text, rolled forward when the year is missing."""
     rx = r"\b(\d{1,2})/(\d{1,2})(?:/(20\d{2}))?\b"
-    text = txt(c)
-    explicit = _num(text, rx, 3)
-    day = make_day(F.coalesce(explicit, F.lit(today.year)), _num(text, rx, 2), _num(text, rx, 1))
-    return _roll(day, explicit, today)
+
+    def day(t):
+        return F.struct(_num(t, rx, 3).alias("year"), make_day(F.coalesce(_num(t, rx, 3), F.lit(today.year)), _num(t, rx, 2), _num(t, rx, 1)).alias("day"))
+
+    return let(let(txt(c), day), lambda x: _roll(x["day"], x["year"], today))
 
 
 def numeric_prefix(c, year: Column) -> Column:
     """struct(start, end, rest) of a line starting with d/m, d-d/m or d/m-d/m."""
     line = F.trim(F.regexp_replace(F.regexp_replace(txt(c), r"[–—]", "-"), r"(?U)\s+", " "))
-    both = r"^(\d{1,2})/(\d{1,2}) ?- ?(\d{1,2})/(\d{1,2}) (.+)$"
-    span = r"^(\d{1,2}) ?- ?(\d{1,2})/(\d{1,2}) (.+)$"
-    one = r"^(\d{1,2})/(\d{1,2}) (.+)$"
-    n = lambda rx, i: _num(line, rx, i)
-    start = (
-        F.when(line.rlike(both), make_day(year, n(both, 2), n(both, 1)))
-        .when(line.rlike(span), make_day(year, n(span, 3), n(span, 1)))
-        .when(line.rlike(one), make_day(year, n(one, 2), n(one, 1)))
-    )
-    end = (
-        F.when(line.rlike(both), make_day(year, n(both, 4), n(both, 3)))
-        .when(line.rlike(span), make_day(year, n(span, 3), n(span, 2)))
-        .when(line.rlike(one), start)
-    )
-    rest = (
-        F.when(line.rlike(both), F.regexp_extract(line, both, 5))
-        .when(line.rlike(span), F.regexp_extract(line, span, 4))
-        .when(line.rlike(one), F.regexp_extract(line, one, 3))
-    )
-    return F.when(
-        start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"), rest.alias("rest"))
-    )
+    rx = r"^(\d{1,2})(?:/(\d{1,2}))?(?: ?- ?(\d{1,2})/(\d{1,2}))? (.+)$"
+
+    def parts(t):
+        d1, m1, d2, m2 = (_num(t, rx, i) for i in (1, 2, 3, 4))
+        start = make_day(year, F.coalesce(m1, m2), d1)
+        end = F.when(d2.isNull(), start).otherwise(make_day(year, m2, d2))
+        return F.struct(start.alias("start"), end.alias("end"), F.regexp_extract(t, rx, 5).alias("rest"))
+
+    return let(let(line, parts), lambda x: F.when(x["start"].isNotNull() & x["end"].isNotNull(), x))
 
 
 def explicit_price(c) -> Column:
     """struct(low, high, status) of an explicitly stated price; silence is 'unknown', never free."""
     text = F.regexp_replace(F.lower(txt(c)), r"(?U)\s+", " ")
-    free = text.rlike(r"(?U)\b(fri entré|gratis|kostnadsfria biljetter|kostnadsfritt)\b")
-    pair = r"(?U)\b(\d{1,5})\s*[-–—]\s*(\d{1,5})\s*kronor\b"
-    one = r"(?U)\b(\d{1,5})\s*kronor\b"
-    value = lambda rx, i: F.regexp_extract(text, rx, i).cast("double")
-    none = F.lit(None).cast("double")
-    built = lambda lo, hi, status: F.struct(lo.alias("low"), hi.alias("high"), F.lit(status).alias("status"))
-    return (
-        F.when(free, built(none, none, "free"))
-        .when(text.rlike(pair), built(value(pair, 1), value(pair, 2), "known"))
-        .when(text.rlike(one), built(value(one, 1), value(one, 1), "known"))
-        .otherwise(built(none, none, "unknown"))
-    )
+    free_rx = r"(?U)\b(fri entré|gratis|kostnadsfria biljetter|kostnadsfritt)\b"
+    pair_rx, one_rx = r"(?U)\b(\d{1,5})\s*[-–—]\s*(\d{1,5})\s*kronor\b", r"(?U)\b(\d{1,5})\s*kronor\b"
+    number = lambda t, rx, i: F.nullif(F.regexp_extract(t, rx, i), F.lit("")).cast("double")
+
+    def price(t):
+        free = t.rlike(free_rx)
+        low = F.coalesce(number(t, pair_rx, 1), number(t, one_rx, 1))
+        high = F.coalesce(number(t, pair_rx, 2), number(t, one_rx, 1))
+        status = F.when(free, "free").when(low.isNotNull(), "known").otherwise("unknown")
+        return F.struct(F.when(~free, low).alias("low"), F.when(~free, high).alias("high"), status.alias("status"))
+
+    return let(text, price)

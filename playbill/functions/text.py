@@ -66,6 +66,11 @@ def txt(c) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_marks(c) -> Column:
     """Compatibility decomposition without combining marks."""
     source, target, many = _decomposition()

@@ -34,12 +34,8 @@ def public_urls(spark, sf):
 
 @query("page_evidence")
 def page_evidence(spark, sf):
-    facts = pages.facts(_pages(spark, sf))
-    out = None
-    for field in ("start_time", "end_time", "door_time", "age_limit", "price", "precise_venue", "booking"):
-        part = pages.evidence(facts, field).select("page_id", "field", "status", "kind", "value", F.length("snippet").alias("snippet_chars"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fields = ["start_time", "end_time", "door_time", "age_limit", "price", "precise_venue", "booking"]
+    return pages.evidence(pages.facts(_pages(spark, sf)), fields).select("page_id", "field", "status", "kind", "value", F.length("snippet").alias("snippet_chars"))
 
 
 @query("page_replay")

@@ -20,7 +20,8 @@ DETAIL_LIMIT = 40
 
 def rule_table(spark) -> DataFrame:
     """Twenty-odd fixed rows with the registry's display names."""
-    return registry.by_key(spark.createDataFrame(rules.RULES, rules.FIELDS)).select(*[f.split()[0] for f in rules.FIELDS.split(", ")], F.col("name").alias("source"))
+    names = registry.sources(spark).select(F.col("key").alias("source_key"), F.col("name").alias("source"))
+    return spark.createDataFrame(rules.RULES, rules.FIELDS).join(names, "source_key")
 
 
 def _matches(value: Column, rx: Column, default: bool) -> Column:
@@ -63,10 +64,10 @@ def _from_blocks(raw_pages: DataFrame, today: dt.date) -> DataFrame:
     cut_rx = r"(?iuU)^(.*?)[ ·–—-]*\b\d{1,2} (?:" + "|".join(vocab.MONTHS_SV) + r") 20\d{2}\b"
     df = df.withColumn("title", F.when((mode == "link") & F.col("title").rlike(cut_rx), F.trim(F.regexp_extract("title", cut_rx, 1))).otherwise(F.col("title")))
     df = df.withColumn("link", F.coalesce(booking.absolute_url("url", "href"), F.col("url")))
-    swedish, numeric = swedish_range("text", today), numeric_day("text", today)
     dates = F.col("dates")
-    start = F.when(dates == "numeric", numeric).when(dates == "heading", F.col("heading_day")).otherwise(swedish["start"])
-    end = F.when(dates == "swedish", swedish["end"])
+    df = df.withColumns({"sv": F.when(dates == "swedish", swedish_range("text", today)), "num": F.when(dates == "numeric", numeric_day("text", today))})
+    start = F.when(dates == "numeric", F.col("num")).when(dates == "heading", F.col("heading_day")).otherwise(F.col("sv.start"))
+    end = F.when(dates == "swedish", F.col("sv.end"))
     return df.withColumns({"start": start, "end": end, "place": F.lit(None).cast("string")}).filter(_matches(F.col("link"), F.col("link_like"), True))
 
 
@@ -98,7 +99,8 @@ def _fixtures(raw_pages: DataFrame, today: dt.date) -> DataFrame:
     home = F.lower(F.regexp_extract("line", versus, 1))
     at_home = home.rlike("^(?:.*\\b)?(" + "|".join(rules.HOME_WORDS) + ")")
     df = df.filter((home != "") & at_home & _matches(F.lower("ahead"), F.col("need"), True))
-    day = F.coalesce(_iso_day(F.col("ahead")), swedish_range("ahead", today)["start"], _iso_day(F.col("around")), swedish_range("around", today)["start"])
+    df = df.withColumns({"sv1": swedish_range("ahead", today), "sv2": swedish_range("around", today)})
+    day = F.coalesce(_iso_day(F.col("ahead")), F.col("sv1.start"), _iso_day(F.col("around")), F.col("sv2.start"))
     return df.withColumns({"title": F.col("line"), "text": F.col("ahead"), "start": day, "end": day, "link": F.col("url"), "place": F.lit(None).cast("string")})
 
 
