@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from playbill import vocab
 from playbill.functions import booking, pages
 from playbill.operators import evidence
 from playbill.plans.registry import query
@@ -52,8 +53,11 @@ def page_replay(spark, sf):
 def page_listings(spark, sf):
     """Every page read as a list page of one of the rule sources."""
     keys = F.array(*[F.lit(r[0]) for r in rules.RULES])
+    # The table's pages carry no calendar dates, so each gets one dated box made from its own id and address.
+    day, month = (F.col("page_id") % 28 + 1).cast("string"), F.element_at(F.array(*[F.lit(m) for m in vocab.MONTHS_SV]), (F.col("page_id") % 12 + 1).cast("int"))
+    box = F.concat(F.lit("<article><h2>Kväll hos "), booking.bare_host("url"), F.lit("</h2><p>"), day, F.lit(" "), month, F.lit(' kl 19.30, 120 kronor, örebro</p><a href="/events/1">Mer</a></article>'))
     raw = _pages(spark, sf).select(
-        "url", F.element_at(keys, (F.pmod("page_id", F.size(keys)) + 1).cast("int")).alias("source_key"), "html", F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("list").alias("page_kind")
+        "url", F.element_at(keys, (F.pmod("page_id", F.size(keys)) + 1).cast("int")).alias("source_key"), F.concat("html", box).alias("html"), F.lit(None).cast("timestamp").alias("fetched_at"), F.lit("list").alias("page_kind")
     )
     return page_jobs.extract(raw, TODAY).select("id", "title", "start_date", "city", "official_url", "price_status")
 
