@@ -41,6 +41,7 @@ def test_cards_equal_the_plain_loop(spark):
     for seed in (1, 2):
         df = listings(spark, rows(seed, 120)).withColumn("position", F.col("ingest_ord") + 1)
         got = {r.position: r.leader_position for r in productions.assign(df, keys=()).collect()}
+        assert got == {r.position: r.leader_position for r in productions.assign(df, keys=(), batch=3).collect()}
         leaders, want = [], {}
         for r in productions.production_columns(df.withColumn("g", F.lit(""))).orderBy("position").collect():
             r = r.asDict()
