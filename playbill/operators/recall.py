@@ -24,7 +24,9 @@ def candidates(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL
         F.col("ingest_ord").alias("listing_ord"), txt("start_date").alias("d"), recall_title("city").alias("c"), recall_title("title").alias("lt")
     ).join(block, ["d", "c"])
     w = Window.partitionBy("d", "c", "lt").orderBy("listing_ord")
-    rows = cut(rows.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= F.col("n_refs")))
+    # The literal bound lets every task drop surplus copies before they are shuffled together.
+    most = block.agg(F.coalesce(F.max("n_refs"), F.lit(0)).alias("m")).first().m
+    rows = cut(rows.withColumn("copy", F.row_number().over(w)).filter((F.col("copy") <= most) & (F.col("copy") <= F.col("n_refs"))))
     titles = rows.select("d", "c", "lt").distinct()
     pairs = r.select("d", "c", "rt").distinct().join(titles, ["d", "c"])
     scored = pairs.withColumn("score", recall_score(F.col("rt"), F.col("lt"))).filter(F.col("score") >= floor)
