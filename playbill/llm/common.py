@@ -51,3 +51,44 @@ def spans(text: Column, pattern: str) -> Column:
 def spell(found: Column) -> Column:
     """kind:start:end of every span, comma-joined in the order of the array."""
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Runs fn(columns as lists) -> columns as lists on every Arrow batch; fn(None) is not called for empty input."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                out = fn(*[c.to_pylist() for c in batch.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def add_columns(df: DataFrame, inputs: list[str], fn, added: str) -> DataFrame:
+    """The rows of df with the columns that fn(columns as lists) gives; columns of these names are replaced."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(added)
+    kept = df.drop(*new.names)
+    schema = StructType(kept.schema.fields + new.fields)
+    arrow = to_arrow_schema(new)
+    names, wanted = list(kept.columns), list(df.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                out = fn(*[batch.column(wanted.index(c)).to_pylist() for c in inputs])
+                columns = [batch.column(wanted.index(c)) for c in names] + [pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names + arrow.names)
+
+    return df.mapInArrow(run, schema)

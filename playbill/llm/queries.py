@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import mixing, secrets
-from playbill.llm.common import table
+from playbill.llm import langid, mixing, packing, rules, secrets
+from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
 SECRET_SQL = r"""
@@ -72,3 +72,22 @@ def op7_secrets(spark, sf):
 @query("op10_mixing", MIX_SQL)
 def op10_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_language")
+def op1_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op2_packing")
+def op2_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op4_rules")
+def op4_rules(spark, sf):
+    rows = rules.ledger(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes(rules.CURRENT).alias("kept"), "failed")
