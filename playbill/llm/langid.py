@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 
 from playbill.llm.common import map_columns, with_key
 
-SAMPLE_TEXTS = 150
-DICTIONARY_BYTES = 96 * 1024
-SHARE_BYTES = 2048  # the most that one training text gives to a dictionary
+SAMPLE_TEXTS = 400
+DICTIONARY_BYTES = 16 * 1024
+PASSAGE_WORDS = 25
+CLEANINGS = 2
+SHARE_BYTES = 600  # the most that one training text gives to a dictionary, so that no copy of one text decides
 SLICE = 4096
-LEVEL = 3
+LEVEL = 12
 LEAST_MARGIN = 0.004
 FULL_MARGIN = 0.15
 UNKNOWN = "und"
 
+_CODE = re.compile(r"[\d@]")  # in numbers, addresses and keys
 _GAPS = re.compile(r"[\W\d_]+")
 _COMPRESSORS: dict[int, list] = {}
 
@@ -41,8 +44,15 @@ class Model(NamedTuple):
 
 
 def normal(text: str) -> bytes:
-    """Lower-cased words with single blanks: marks, digits and case say nothing about the language."""
-    return _GAPS.sub(" ", text.lower()).encode()
+    """Each lower-cased word of the whole text once: marks, digits, case and repetition say nothing about the language."""
+    words: dict[str, None] = {}
+    for token in dict.fromkeys(text.lower().split()):
+        if token.isalpha():
+            words[token] = None
+        elif not _CODE.search(token):
+            words.update(dict.fromkeys(_GAPS.split(token)))
+    words.pop("", None)
+    return " ".join(words or dict.fromkeys(_GAPS.sub(" ", text.lower()).split())).encode()
 
 
 def sample(docs: DataFrame, usable: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
@@ -55,13 +65,31 @@ def sample(docs: DataFrame, usable: Column, texts: int = SAMPLE_TEXTS) -> DataFr
 
 
 def fit(docs: DataFrame, usable: Column | None = None, texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+    """Dictionaries of the passages of the sampled texts, without doubtful ones.
+
+    Doubtful is a passage that the dictionaries of the other half of the sample give to another
+    language: a wrong label, or a quotation or notice in another language.
+    """
     rows = sorted(sample(docs, F.lit(True) if usable is None else usable, texts).collect(), key=lambda r: (r["lang"], r["h"]))
+    passages = [(r["lang"], p, r["h"] & 1) for r in rows for p in _passages(r["text"])]
+    for _ in range(CLEANINGS):
+        halves = [_build([x for x in passages if x[2] == side], dictionary_bytes) for side in (0, 1)]
+        known = set(halves[0].languages) & set(halves[1].languages)
+        passages = [x for x in passages if x[0] not in known or classify(x[1], halves[1 - x[2]])[0] == x[0]]
+    return _build(passages, dictionary_bytes)
+
+
+def _passages(text: str) -> list[str]:
+    """Evenly spread passages of a text, `SHARE_BYTES` in sum at most."""
+    words = text.split()
+    parts = [" ".join(words[i : i + PASSAGE_WORDS]) for i in range(0, len(words), PASSAGE_WORDS)]
+    return parts[:: max(1, -(-len(parts) * PASSAGE_WORDS * 6 // SHARE_BYTES))]
+
+
+def _build(rows: list[tuple[str, str, int]], dictionary_bytes: int) -> Model:
     parts: dict[str, list[bytes]] = {}
-    for r in rows:
-        # From the middle of the text, where headings and greetings are rarer; texts of a language are equally heard.
-        data = normal(r["text"])
-        at = max(0, len(data) - SHARE_BYTES) // 2
-        parts.setdefault(r["lang"], []).append(data[at : at + SHARE_BYTES])
+    for lang, text, _ in rows:
+        parts.setdefault(lang, []).append(normal(text) + b" ")
     # Dictionaries of one length, or a longer one would win by its length.
     size = min([dictionary_bytes, *(sum(map(len, p)) for p in parts.values())])
     languages = tuple(sorted(parts))

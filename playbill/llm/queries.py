@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import langid, mixing, packing, rules, secrets
+from playbill.llm import embeddings, langid, mixing, packing, rules, secrets, simhash
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -91,3 +91,13 @@ def op2_packing(spark, sf):
 def op4_rules(spark, sf):
     rows = rules.ledger(table(spark, sf, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes(rules.CURRENT).alias("kept"), "failed")
+
+
+@query("op6_embeddings")
+def op6_embeddings(spark, sf):
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf):
+    return simhash.report(table(spark, sf, "documents"))
