@@ -19,12 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import map_columns
 from playbill.llm.components import components, in_slots, joined
 from playbill.session import cut
 
 COSINE = 0.95
-TABLES = 6
+TABLES = 5
 HASHES = 2
 ROUNDS = 3
 BUCKET = 1_000
@@ -87,27 +86,34 @@ def codes(vectors, table: int, tables: int = TABLES):
 
 def buckets(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
     """(node, n, embedding, dim, tab, bucket, guest)"""
+    from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-    def run(node, n, vectors):
-        import numpy as np
+    schema = StructType([
+        *nodes.select("node", "n", "embedding").schema.fields, StructField("dim", IntegerType()), StructField("tab", IntegerType()), StructField("bucket", LongType()), StructField("guest", BooleanType()),
+    ])
 
-        out = [[], [], [], [], [], [], []]
-        by_dim: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(i)
-        for dim, rows in by_dim.items():
-            x = unit([vectors[i] for i in rows])
-            for t in range(tables):
-                home, guests = codes(x, t, tables)
-                for is_guest, column in ((False, home), *((True, g) for g in guests)):
-                    for r, i in enumerate(rows):
-                        if not (is_guest and column[r] == home[r]):
-                            for to, value in zip(out, (node[i], n[i], vectors[i], dim, t, int(column[r]), is_guest)):
-                                to.append(value)
-        return out
-
-    kind = nodes.schema["embedding"].dataType.simpleString()
-    return map_columns(nodes.select("node", "n", "embedding"), run, f"node bigint, n bigint, embedding {kind}, dim int, tab int, bucket bigint, guest boolean")
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            dims = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                x = unit(np.array(batch.column(2).take(pa.array(rows)).flatten()).reshape(len(rows), dim))
+                for t in range(tables):
+                    home, guests = codes(x, t, tables)
+                    for is_guest, column in ((False, home), *((True, g) for g in guests)):
+                        use = np.flatnonzero(column != home) if is_guest else np.arange(len(rows))
+                        own = batch.take(pa.array(rows[use]))
+                        n = len(use)
+                        yield pa.RecordBatch.from_arrays(
+                            [*own.columns, pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(column[use].astype(np.int64)), pa.array(np.full(n, is_guest))],
+                            names=["node", "n", "embedding", "dim", "tab", "bucket", "guest"],
+                        )
+
+    return nodes.select("node", "n", "embedding").mapInArrow(run, schema)
 
 
 def _verify(cosine: float, tables: int):
@@ -115,13 +121,18 @@ def _verify(cosine: float, tables: int):
     import pandas as pd
 
     def run(key, frame):
-        parts = [one(int(key[1]), part) for _, part in frame.groupby("bucket", sort=False) if len(part) > 1]
-        return pd.concat(parts) if parts else pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-
-    def one(table, frame):
-        frame = frame.sort_values("guest", kind="stable").reset_index(drop=True)
-        nodes, weight, homes = frame["node"].to_numpy(), frame["n"].to_numpy(), int((~frame["guest"]).sum())
+        # Homes first within each bucket; buckets of one row, and those without a home, have no pair.
+        frame = frame.iloc[np.lexsort((frame["guest"].to_numpy(), frame["bucket"].to_numpy()))]
+        nodes, weight, guest = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["guest"].to_numpy()
         x = unit(np.stack(frame["embedding"].to_numpy()))
+        edges = np.flatnonzero(np.diff(frame["bucket"].to_numpy(), prepend=np.nan, append=np.nan))
+        parts = [one(int(key[1]), nodes[a:b], weight[a:b], x[a:b], int((~guest[a:b]).sum())) for a, b in zip(edges, edges[1:]) if b - a > 1 and not guest[a]]
+        parts = [p for p in parts if p is not None]
+        return pd.DataFrame(dict(zip(("node", "links", "root"), map(np.concatenate, zip(*parts))))) if parts else pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
+
+    def one(table, nodes, weight, x, homes):
+        if len(nodes) <= 64 and not (np.triu(x[:homes] @ x.T, 1) >= cosine).any():  # most buckets
+            return None
         order = np.argsort(np.argsort(nodes, kind="stable"), kind="stable")
         labels, links, linked = order.copy(), np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=bool)
         kept = None
@@ -153,7 +164,7 @@ def _verify(cosine: float, tables: int):
         linked = (links > 0) | (labels != order)
         ranked = np.empty_like(nodes)
         ranked[order] = nodes
-        return pd.DataFrame({"node": nodes[linked], "links": links[linked], "root": ranked[labels[linked]]})
+        return nodes[linked], links[linked], ranked[labels[linked]]
 
     return run
 
