@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import embeddings, langid, mixing, packing, rules, secrets, simhash
+from playbill.llm import embeddings, langid, mixing, packing, rules, secrets, simhash, substrings
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -101,3 +101,8 @@ def op6_embeddings(spark, sf):
 @query("op8_simhash")
 def op8_simhash(spark, sf):
     return simhash.report(table(spark, sf, "documents"))
+
+
+@query("op5_substrings")
+def op5_substrings(spark, sf):
+    return substrings.dedup(table(spark, sf, "documents")).drop("removed")
