@@ -92,3 +92,17 @@ def add_columns(df: DataFrame, inputs: list[str], fn, added: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names + arrow.names)
 
     return df.mapInArrow(run, schema)
+
+
+def hash_sample(rows: DataFrame, group: str, h: Column, most: int) -> DataFrame:
+    """At most `most` rows of each group, those with the smallest hashes; equal hashes count once.
+
+    A threshold keeps about three times as many before anything is ranked.
+    """
+    from pyspark.sql import Window
+
+    hashed = rows.withColumn("_h", h)
+    sizes = hashed.groupBy(group).agg(F.count("*").alias("_n"))
+    near = hashed.join(sizes, group).filter(F.pmod("_h", F.lit(1 << 30)).cast("double") * F.col("_n") < F.lit(3.0 * most * (1 << 30)))
+    ranked = near.dropDuplicates([group, "_h"]).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h")))
+    return ranked.filter(F.col("_r") <= most).drop("_n", "_r")

@@ -17,10 +17,10 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import map_columns, with_key
+from playbill.llm.common import add_columns, hash_sample, with_key
 
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 16 * 1024
@@ -58,10 +58,7 @@ def normal(text: str) -> bytes:
 def sample(docs: DataFrame, usable: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
     """(lang, text): about the `texts` labelled texts of each language whose hashes are smallest."""
     rows = with_key(docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))).select("lang", "text", F.xxhash64("_id", "_k").alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # A hash threshold keeps about three times the wanted rows; only those are ranked.
-    few = rows.join(sizes, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)).cast("double") * F.col("n") < F.lit(3.0 * texts * (1 << 30))).dropDuplicates(["lang", "h"])
-    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= texts).select("lang", "text", "h")
+    return hash_sample(rows, "lang", F.col("h"), texts).select("lang", "text", "h")
 
 
 def fit(docs: DataFrame, usable: Column | None = None, texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
@@ -126,6 +123,4 @@ def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of docs with lang_pred, score and rejected; other columns stay."""
-    from playbill.llm.common import add_columns
-
     return add_columns(docs, ["text"], lambda texts: list(zip(*(classify(t, model) for t in texts))), "lang_pred string, score double, rejected boolean")

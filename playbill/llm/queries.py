@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import embeddings, langid, mixing, packing, rules, secrets, simhash, substrings
+from playbill.llm import embeddings, langid, mixing, packing, quality, rules, secrets, simhash, substrings
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -106,3 +106,11 @@ def op8_simhash(spark, sf):
 @query("op5_substrings")
 def op5_substrings(spark, sf):
     return substrings.dedup(table(spark, sf, "documents")).drop("removed")
+
+
+@query("op9_quality")
+def op9_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    net = quality.fit(docs, table(spark, sf, "labels"), ~held_out)
+    return quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), net).drop("text")
