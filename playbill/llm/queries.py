@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import embeddings, langid, mixing, packing, quality, rules, secrets, simhash, substrings
+from playbill.llm import embeddings, langid, mixing, packing, pii, quality, rules, secrets, simhash, substrings
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -114,3 +114,8 @@ def op9_quality(spark, sf):
     held_out = crc_mod("doc_id", 5) == 0
     net = quality.fit(docs, table(spark, sf, "labels"), ~held_out)
     return quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), net).drop("text")
+
+
+@query("op3_pii")
+def op3_pii(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
