@@ -29,7 +29,7 @@ CLEANINGS = 2
 SHARE_BYTES = 600  # the most that one training text gives to a dictionary, so that no copy of one text decides
 SLICE = 4096
 LEVEL = 12
-LEAST_MARGIN = 0.004
+LEAST_MARGIN = 0.002
 FULL_MARGIN = 0.15
 UNKNOWN = "und"
 
