@@ -10,10 +10,11 @@ stand.  Window starts of one trigger form a phrase with the bytes that those win
 Windows are ordered only as far as repetition needs it.  A phrase whose trigger is unique in the
 corpus holds no repeated window and leaves the parse at once.  A phrase that the dictionary counts
 twice holds nothing but repeated windows.  Only phrases that share a trigger with a different one
-(the edges of copied passages) are opened: the suffixes of the dictionary's phrases, `LENGTH` bytes
-long, are compared through two 64-bit hashes, each distinct phrase once.  So classes of equal
-suffixes take the place of their sorted order; a copy of a passage, however often it occurs,
-costs a constant number of rows a phrase, and no pairs are formed.
+(the edges of copied passages) are opened, each distinct phrase once: first into blocks of `BLOCK`
+suffixes by the same two tests (the bytes that all windows of a block share, then all its bytes),
+then the blocks left into single suffixes, `LENGTH` bytes long, compared through two 64-bit
+hashes.  So classes of equal suffixes take the place of their sorted order; a copy of a passage,
+however often it occurs, costs a constant number of rows a phrase, and no pairs are formed.
 
 Defined cases: null texts are empty; texts shorter than `LENGTH` keep every byte; repeated rows
 are copies of each other; overlapping repeats of one document count; an empty table gives no rows;
@@ -31,8 +32,10 @@ from playbill.session import cut
 
 LENGTH = 200
 GRAM = 32
+BLOCK = 16
 CHUNK = 1 << 20  # bytes that are hashed at once
-STEPS = 1 << 8  # a phrase's place is start * STEPS + number of windows
+STEPS = 1 << 8
+PLACE = STEPS * STEPS  # a place is start * PLACE + (trigger - last start) * STEPS + number of windows
 
 
 def _table(seed: int):
@@ -102,7 +105,7 @@ def phrases(texts: list[bytes], length: int = LENGTH):
     n = np.diff(np.append(first, len(at)))
     lo, own = at[first], row[first]
     c = np.fromiter((xxh3_64_intdigest(joined[a : a + k + length - 1], 5) for a, k in zip(lo.tolist(), n.tolist())), dtype=np.uint64, count=len(lo))
-    return own, (lo - begin[own]) * STEPS + n, gram[place[first]], c
+    return own, (lo - begin[own]) * PLACE + (place[first] - (lo + n - 1)) * STEPS + n, gram[place[first]], c
 
 
 def _chunks(texts: list[bytes | None]):
@@ -153,8 +156,38 @@ def zipped(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("z", BinaryType())]))
 
 
+def blocks(opened: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k, seg, g, c, often): the blocks of the opened phrases, from (k, z, segs of (seg, often)).
+
+    Blocks are counted from the trigger, so equal windows lie in blocks of the same number; g is of
+    the bytes that every window of that block holds, c of all bytes of those the phrase has.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+        from xxhash import xxh3_64_intdigest
+
+        unpack, signed = zstandard.ZstdDecompressor().decompress, lambda h: h - (1 << 64) if h >> 63 else h
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for k, z, segs in zip(*(c.to_pylist() for c in batch.columns)):
+                data = unpack(z)
+                for s in segs:
+                    lo, ahead, n = s["seg"] // PLACE, s["seg"] // STEPS % STEPS, s["seg"] % STEPS
+                    t = lo + n - 1 + ahead
+                    for j in range(ahead // BLOCK, (t - lo) // BLOCK + 1):
+                        a, b = max(lo, t - BLOCK * j - BLOCK + 1), min(lo + n - 1, t - BLOCK * j)
+                        core = data[t - BLOCK * j : t - BLOCK * j - BLOCK + 1 + length]
+                        for column, value in zip(out, (k, a * PLACE + b - a + 1, signed(xxh3_64_intdigest(core, j)), signed(xxh3_64_intdigest(data[a : b + length], 6)), s["often"])):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, [pa.int64()] * 4 + [pa.bool_()])], names=["k", "seg", "g", "c", "often"])
+
+    return opened.mapInArrow(run, "k bigint, seg bigint, g bigint, c bigint, often boolean")
+
+
 def suffixes(opened: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(w1, w2, k, p, often): every window of the opened phrases, from (k, z, segs of (seg, often))."""
+    """(w1, w2, k, p, often): every window of the opened places, from (k, z, segs of (seg, often))."""
 
     def run(batches):
         import numpy as np
@@ -166,7 +199,7 @@ def suffixes(opened: DataFrame, length: int = LENGTH) -> DataFrame:
             for k, z, segs in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(unpack(z), dtype=np.uint8)
                 place = np.array([s["seg"] for s in segs], dtype=np.int64)
-                lo, n = place // STEPS, place % STEPS
+                lo, n = place // PLACE, place % STEPS
                 p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 often = np.repeat(np.array([s["often"] for s in segs]), n)
                 hashes = []
@@ -192,21 +225,38 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
         salt += 1
 
 
+def _open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, opened) of rows (g, c, k, seg, often): distinct strings, and those to look into.
+
+    `often` says that a string occurs twice or more; the rows of a string that does need no look
+    themselves, but their string is one that others may partly equal.
+    """
+    weight = F.sum(F.when(F.col("often"), 2).otherwise(1))
+    dictionary = rows.groupBy("g", "c").agg((weight > 1).alias("often"), F.min(F.struct("k", "seg")).alias("one"))
+    dictionary = cut(dictionary.select("g", "c", "often", "one.k", "one.seg"))
+    shared = dictionary.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
+    opened = dictionary.join(shared, "g", "left_semi").groupBy("k").agg(F.collect_list(F.struct("seg", "often")).alias("segs"))
+    return dictionary, opened
+
+
 def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k, seg): places whose windows all occur elsewhere, as start * STEPS + number of windows."""
+    """(k, seg): places whose windows all occur elsewhere."""
+    texts = zipped(keyed).drop("doc_id").dropDuplicates(["k"])
     rows = cut(parse(keyed, length))
     twice = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     rows = cut(rows.join(twice, "g", "left_semi"))
-    dictionary = rows.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "seg")).alias("one"))
-    dictionary = cut(dictionary.select("g", "c", "n", "one.k", "one.seg"))
-    shared = dictionary.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    opened = dictionary.join(shared, "g", "left_semi").groupBy("k").agg(F.collect_list(F.struct("seg", (F.col("n") > 1).alias("often"))).alias("segs"))
-    windows = cut(suffixes(opened.join(zipped(keyed).drop("doc_id").dropDuplicates(["k"]), "k").select("k", "z", "segs"), length))
+    dictionary, opened = _open(rows.withColumn("often", F.lit(False)))
+    whole = rows.join(dictionary.filter("often").select("g", "c"), ["g", "c"], "left_semi").select("k", "seg")
+    # The texts that are opened, once, for both steps.
+    opened = cut(opened.join(texts, "k").select("k", "z", "segs"))
+    parts = cut(blocks(opened, length))
+    inner, left = _open(parts)
+    in_blocks = parts.filter("NOT often").join(inner.filter("often").select("g", "c"), ["g", "c"], "left_semi").select("k", "seg")
+    windows = cut(suffixes(left.join(opened.select("k", "z"), "k").select("k", "z", "segs"), length))
     weight = F.sum(F.when(F.col("often"), 2).otherwise(1))
     again = windows.groupBy("w1", "w2").agg(weight.alias("n"), F.bool_or(~F.col("often")).alias("single")).filter("n > 1 AND single").select("w1", "w2")
-    edges = windows.filter("NOT often").join(again, ["w1", "w2"], "left_semi").select("k", (F.col("p") * STEPS + 1).alias("seg"))
-    whole = rows.join(dictionary.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("k", "seg")
-    return whole.unionByName(edges)
+    edges = windows.filter("NOT often").join(again, ["w1", "w2"], "left_semi").select("k", (F.col("p") * PLACE + 1).alias("seg"))
+    return whole.unionByName(in_blocks).unionByName(edges)
 
 
 def spans(places: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -216,7 +266,7 @@ def spans(places: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     if not places:
         return []
     at = np.sort(np.array(places, dtype=np.int64))
-    lo = at // STEPS
+    lo = at // PLACE
     end = np.maximum.accumulate(lo + at % STEPS - 1 + length)
     new = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
     return list(zip(lo[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist()))
