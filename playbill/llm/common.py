@@ -28,6 +28,11 @@ def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.withColumns({"_id": fold_id(id_col), "_k": F.xxhash64(F.col(text_col), F.length(text_col))})
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns and the key, with the whole row kept in `_row`, so that no name can clash."""
+    return with_key(docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a Java pattern, leftmost and not overlapping: array of (start, end, hit) in code points.
 

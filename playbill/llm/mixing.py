@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playbill.llm.common import WORD, fold_id, with_key
+from playbill.llm.common import WORD, carried, fold_id, with_key
 from playbill.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -88,6 +88,6 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MO
     """The documents themselves, each as often as the mix takes it, with their own columns."""
     same = Window.partitionBy("_id", "_k")
     plan = mix(docs, weights, cap).select("_id", "_k", F.row_number().over(same.orderBy("copies")).alias("_n"), "copies")
-    numbered = with_key(docs).withColumn("_n", F.row_number().over(same.orderBy("_k")))
+    numbered = carried(docs, "doc_id", "text").withColumn("_n", F.row_number().over(same.orderBy("_k")))
     taken = numbered.join(plan.filter("copies > 0"), ["_id", "_k", "_n"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

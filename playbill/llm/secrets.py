@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import spans, spell, with_key
+from playbill.llm.common import carried, spans, spell, with_key
 from playbill.session import cut
 
 
@@ -170,12 +170,16 @@ def report(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The documents with every span replaced by `<kind>`; overlapping spans become one, named by the first."""
-    keyed, found = with_key(docs), scan(docs, rules).filter(F.size("found") > 0).groupBy("_id", "_k").agg(F.first("found").alias("_found"))
+    keyed = carried(docs, "doc_id", "text")
+    found = scan(docs, rules).filter(F.size("found") > 0).groupBy("_id", "_k").agg(F.first("found").alias("_found"))
     text = F.col("text")
     out = lambda kept, upto, to: F.concat(kept, F.substring(text, (upto + 1).cast("int"), F.greatest(to - upto, F.lit(0)).cast("int")))
     step = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
         F.struct(x["end"].alias("at"), F.concat(out(acc["out"], acc["at"], x["start"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))
     )
     clean = F.aggregate("_found", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: out(acc["out"], acc["at"], F.length(text).cast("bigint")))
-    joined = keyed.join(found, ["_id", "_k"], "left").withColumn("text", F.when(F.col("_found").isNull(), text).otherwise(clean))
-    return joined.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.col("_row").withField("text", clean)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    joined = keyed.join(found, ["_id", "_k"], "left")
+    return joined.select(F.when(F.col("_found").isNull(), F.col("_row")).otherwise(row).alias("_row")).select("_row.*")

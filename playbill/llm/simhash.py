@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import map_columns, with_key
+from playbill.llm.common import carried, map_columns, with_key
 from playbill.llm.components import components, in_slots, joined
 from playbill.session import cut
 
@@ -193,5 +193,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Rows whose ids are all null form components of no id; each fingerprint keeps one of them.
     known = first.filter("component_id IS NOT NULL").select("first._id", "first._k")
     unknown = groups.filter("component_id IS NULL").groupBy("fp").agg(F.min(F.struct("_id", "_k")).alias("first")).select("first._id", "first._k")
-    kept = with_key(docs).join(known.unionByName(unknown), ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = carried(docs, "doc_id", "text").join(known.unionByName(unknown), ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"])
+    return kept.select("_row.*")
