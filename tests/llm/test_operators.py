@@ -250,7 +250,7 @@ def test_secrets(spark, docs, rows):
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
-    assert secrets.trigram_query("(abc|de)x?f") == []
+    assert secrets.trigram_query("(abc|d)x?f") == []
     assert set(secrets.trigram_query("(abcd|wxyz)+[0-9]")) == {frozenset({"abc", "bcd"}), frozenset({"wxy", "xyz"})}
 
 
