@@ -108,6 +108,7 @@ def hash_sample(rows: DataFrame, group: str, h: Column, most: int) -> DataFrame:
 
     hashed = rows.withColumn("_h", h)
     sizes = hashed.groupBy(group).agg(F.count("*").alias("_n"))
-    near = hashed.join(sizes, group).filter(F.pmod("_h", F.lit(1 << 30)).cast("double") * F.col("_n") < F.lit(3.0 * most * (1 << 30)))
+    # One row for each label or language that is learned, so it may be sent to all; the texts stay where they are.
+    near = hashed.join(F.broadcast(sizes), group).filter(F.pmod("_h", F.lit(1 << 30)).cast("double") * F.col("_n") < F.lit(3.0 * most * (1 << 30)))
     ranked = near.dropDuplicates([group, "_h"]).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h")))
     return ranked.filter(F.col("_r") <= most).drop("_n", "_r")
