@@ -103,12 +103,13 @@ def train(rows, labels, seed: int = 7) -> dict:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, texts: int = SAMPLE_TEXTS) -> dict | float:
-    """The trained network, or a constant where the labels have one kind only."""
+    """The trained network, or a constant where the labels have one kind only; `usable` is asked of doc_id."""
     import numpy as np
 
-    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_doc"), "quality")
-    rows = docs.filter(F.lit(True) if usable is None else usable).select("doc_id", "text").join(known, F.col("doc_id") == F.col("_doc"))
-    picked = hash_sample(rows, "quality", F.xxhash64(F.col("doc_id").cast("string"), "text"), texts).select("quality", "_h", "text")
+    known = labels.filter(F.col("quality").isin(0, 1) & (F.lit(True) if usable is None else usable)).select(F.col("doc_id").alias("_doc"), F.col("quality").cast("int").alias("quality")).distinct()
+    # Ids are drawn first, so the sample of `texts` ids a label is what is sent to the documents.
+    drawn = hash_sample(known, "quality", F.xxhash64(F.col("_doc").cast("string"), F.lit("quality")), texts)
+    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_doc")).select("quality", "_h", "text")
 
     def cut_passages(quality, h, text):
         out = [[], [], []]
