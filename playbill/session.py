@@ -11,9 +11,11 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster; a temporary one only where none is set and all tasks run in this process (tests)."""
     shared = spark.conf.get(_CHECKPOINT_KEY, None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="playbill-checkpoint-")
         spark.conf.set(_CHECKPOINT_KEY, shared)
     return shared.rstrip("/")
@@ -26,17 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only_hot(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(usual, hot): rows whose key has at most / more than `limit` rows.
-
-    The count is a partial aggregate; just the hot keys travel back to the rows.
-    """
-    from pyspark.sql import functions as F
-
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(key)
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
-
-
 def ship(spark: SparkSession) -> SparkSession:
     """Makes the package importable in Python workers, once per Spark context."""
     import pathlib

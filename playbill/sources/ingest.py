@@ -90,6 +90,32 @@ def completeness(pages: DataFrame) -> DataFrame:
 
 # --- catalogue -------------------------------------------------------------------------
 
+PAGE_BITS, POS_BITS, SUB_BITS = 20, 16, 16
+ROW_BITS = PAGE_BITS + POS_BITS + SUB_BITS
+
+
+def ordinal(page, pos, sub=None):
+    """A row's ordinal within its source from page, position on it and occurrence.
+
+    Distinct places give distinct ordinals in reading order; a place that does not fit is an error, never a second use.
+    """
+    parts = [(page, PAGE_BITS), (pos, POS_BITS), (F.lit(0) if sub is None else sub, SUB_BITS)]
+    out = F.lit(0).cast("bigint")
+    for part, bits in parts:
+        value = F.coalesce(part.cast("bigint"), F.lit(0))
+        fits = F.when(value.between(0, (1 << bits) - 1), value).otherwise(F.raise_error(F.lit("ordinal out of range")).cast("bigint"))
+        out = F.shiftleft(out, bits) + fits
+    return out
+
+
+def page_ranks(raw_pages: DataFrame, *within: str) -> DataFrame:
+    """(within, url, fetched_at, page): landed pages numbered from 0 by address and time, narrow rows only."""
+    from pyspark.sql import Window
+
+    keys = [*within, "url", "fetched_at"]
+    return raw_pages.select(*keys).distinct().withColumn("page", F.row_number().over(Window.partitionBy(*within).orderBy("url", "fetched_at")) - 1)
+
+
 def assemble(*sources: DataFrame, order=("source_ord", "row_ord")) -> DataFrame:
     """Union of all sources, tagged with the common taxonomy.
 
@@ -98,7 +124,7 @@ def assemble(*sources: DataFrame, order=("source_ord", "row_ord")) -> DataFrame:
     """
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     source_ord, row_ord = (F.col(c).cast("bigint") for c in order)
-    return apply_taxonomy(as_listings(every.withColumn("ingest_ord", F.shiftleft(source_ord, 40) + row_ord)))
+    return apply_taxonomy(as_listings(every.withColumn("ingest_ord", F.shiftleft(source_ord, ROW_BITS) + row_ord)))
 
 
 def only_failing_over(primary: DataFrame, fallback: DataFrame, key: str = "source_key") -> DataFrame:

@@ -13,7 +13,7 @@ from playbill.functions.classify import guess_linked_data_type
 from playbill.functions.dates import parse_day, strict_clock
 from playbill.functions.text import stable_id, txt
 from playbill.schema import as_listings
-from playbill.sources.ingest import keep_first
+from playbill.sources.ingest import keep_first, ordinal, page_ranks
 
 
 def _record(source: str, external_id: Column, url: Column, title: Column, payload: Column | None = None) -> Column:
@@ -64,7 +64,7 @@ def ticketing_listings(pages: DataFrame) -> DataFrame:
             F.coalesce(F.nullif(e["info"], F.lit("")), e["pleaseNote"], F.lit("")).alias("description"), F.array(segment, genre).alias("tags"), F.lit("verified").alias("data_quality"),
             lo.alias("price_min"), hi.alias("price_max"), F.when(price.isNotNull(), filled(price["currency"], "SEK")).otherwise("SEK").alias("currency"),
             F.when(lo.isNull(), "unknown").when((lo <= 0) & (hi.isNull() | (hi <= 0)), "free").otherwise("known").alias("price_status"),
-            _record("Ticketmaster", ext, e["url"], e["name"]).alias("source_records"), (F.col("page").cast("bigint") * 1000 + F.col("pos")).alias("ingest_ord"),
+            _record("Ticketmaster", ext, e["url"], e["name"]).alias("source_records"), ordinal(F.col("page"), F.col("pos")).alias("ingest_ord"),
             *[c.alias(n) for n, c in _common("Ticketmaster").items()],
         )
     )
@@ -140,7 +140,7 @@ def linked_data_listings(pages: DataFrame, source: str = "Visit Sweden") -> Data
             txt(_words(_nested(F.col("loc"), "name"))).alias("venue"), txt(_words(_nested(F.col("addr"), "addressLocality"))).alias("city"), txt(_words(_nested(F.col("addr"), "addressRegion"))).alias("region"),
             F.lit("Sverige").alias("country"), number("latitude").alias("latitude"), number("longitude").alias("longitude"), number("latitude").alias("venue_latitude"), number("longitude").alias("venue_longitude"),
             url.alias("official_url"), F.lit("confirmed").alias("status"), txt("t_desc").alias("description"), F.lit("partial").alias("data_quality"), F.array(F.lit("category_normalised_conservatively")).alias("quality_notes"),
-            _record(source, F.col("ext"), url, title).alias("source_records"), (F.col("page").cast("bigint") * 1000 + F.col("pos")).alias("ingest_ord"), *[c.alias(n) for n, c in _common(source).items()],
+            _record(source, F.col("ext"), url, title).alias("source_records"), ordinal(F.col("page"), F.col("pos")).alias("ingest_ord"), *[c.alias(n) for n, c in _common(source).items()],
         )
     )
 
@@ -204,7 +204,7 @@ def city_api_listings(pages: DataFrame, today: dt.date, source: str = "Visit Sto
         F.when(F.col("c") == "Stockholm", "Stockholms län").otherwise("").alias("region"), F.lit("Sverige").alias("country"), F.col("info").alias("official_url"),
         _bounded(F.col("location.latitude"), 90).alias("latitude"), _bounded(F.col("location.longitude"), 180).alias("longitude"), plain_text.alias("description"), F.array("kind").alias("tags"),
         "created_at", F.col("modified_at").alias("updated_at"), _record(source, F.col("occ_id"), F.col("info"), F.col("t"), attribution).alias("source_records"),
-        (F.col("page").cast("bigint") * 1_000_000 + F.col("pos") * 1000 + F.col("o_pos")).alias("ingest_ord"), *[c.alias(n) for n, c in _common(source).items()],
+        ordinal(F.col("page"), F.col("pos"), F.col("o_pos")).alias("ingest_ord"), *[c.alias(n) for n, c in _common(source).items()],
     )
     return keep_first(as_listings(out), ["id"])
 
@@ -214,10 +214,11 @@ def city_api_listings(pages: DataFrame, today: dt.date, source: str = "Visit Sto
 def schedule_listings(pages: DataFrame, home_word: str, arena_word: str, source: str, source_key: str, city: str, tags=("Sport",)) -> DataFrame:
     """pages(payload, url, fetched_at) -> home fixtures only; team and arena spellings vary between feeds."""
     v = F.try_parse_json("payload")
-    df = pages.withColumn("v", v)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("url", "fetched_at")]
+    df = pages.alias("p").join(page_ranks(pages).withColumnRenamed("page", "_page").alias("r"), same[0] & same[1]).select("p.*", "r._page").withColumn("v", v)
     games = F.coalesce(_get(F.col("v"), "$.gameInfo"), _get(F.col("v"), "$.games"))
     games = F.when(_is(games, "OBJECT"), F.coalesce(_get(games, "$.content"), _get(games, "$.items"))).otherwise(games)
-    rows = df.select("url", "fetched_at", F.posexplode(F.when(_is(games, "ARRAY"), games.try_cast("array<variant>"))).alias("pos", "g"))
+    rows = df.select("url", "fetched_at", "_page", F.posexplode(F.when(_is(games, "ARRAY"), games.try_cast("array<variant>"))).alias("pos", "g"))
     g = F.col("g")
 
     def name(*keys):
@@ -231,7 +232,7 @@ def schedule_listings(pages: DataFrame, home_word: str, arena_word: str, source:
     rows = rows.filter(F.contains(F.lower("home"), F.lit(home_word.lower())) & F.contains(F.lower("arena"), F.lit(arena_word.lower())) & (day != "") & (F.col("away") != ""))
     title = F.concat("home", F.lit(" – "), "away")
     ext = F.coalesce(*[F.nullif(_get(g, f"$.{k}", "string"), F.lit("")) for k in ("uuid", "id")], F.concat_ws("|", title, "raw", "arena"))
-    rows = rows.withColumns({"title": title, "day": day, "_key": F.lower(title), "ext": ext, "ingest_ord": F.col("pos").cast("bigint")})
+    rows = rows.withColumns({"title": title, "day": day, "_key": F.lower(title), "ext": ext, "ingest_ord": ordinal(F.col("_page"), F.col("pos"))})
     rows = keep_first(rows.drop("g"), ["_key", "day"])
     return as_listings(
         rows.select(

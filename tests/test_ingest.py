@@ -189,3 +189,23 @@ def test_enrichment_fills_gaps_only(spark):
     assert (got[1].venue, got[1].price_status, got[1].booking_url, got[1].end_time) == ("Annan", "free", "https://b.se/x", "22:30") and got[2].quality_notes == []
     links = page_jobs.detail_links(spark.createDataFrame([("https://c.se/", "conventum", '<a href="/e/1">a</a><a href="/e/2">b</a><a href="/e/1">c</a><a href="/">d</a>')], "url string, source_key string, html string"), "/e/")
     assert [(r.url, r.n) for r in links.orderBy("n").collect()] == [("https://c.se/e/1", 1), ("https://c.se/e/2", 2)]
+
+
+def test_ordinals_differ_across_pages_and_events(spark):
+    from playbill.sources.ingest import ordinal
+
+    places = [(p, i, o) for p in (0, 1) for i in (0, 999, 1000, 1001) for o in (0, 1000, 1001)]
+    rows = spark.createDataFrame(places, "p int, i int, o int").select("p", "i", "o", ordinal(F.col("p"), F.col("i"), F.col("o")).alias("n")).collect()
+    assert [r["n"] for r in sorted(rows, key=lambda r: (r["p"], r["i"], r["o"]))] == sorted({r["n"] for r in rows}) and len({r["n"] for r in rows}) == len(places)
+
+
+def test_two_pages_of_one_source_share_no_ordinal(spark):
+    import datetime as dt
+
+    from playbill.sources import pages, rules
+
+    key = next(r[0] for r in rules.RULES)
+    box = lambda n: f"<html><body><article><h2>Kväll nummer {n}</h2><p>{n} oktober 2026 kl 19.30, örebro</p><a href='/events/{n}'>Mer</a></article></body></html>"
+    raw = spark.createDataFrame([(f"https://a.example.org/{n}", key, box(n), None, "list") for n in (3, 4)], "url string, source_key string, html string, fetched_at timestamp, page_kind string")
+    found = [r["ingest_ord"] for r in pages.extract(raw, dt.date(2026, 9, 1)).collect()]
+    assert len(found) == len(set(found))
