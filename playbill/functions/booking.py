@@ -188,8 +188,9 @@ def absolute_url(page, href) -> Column:
         .when(href.startswith("#") | (href == ""), F.concat(bare, href))
         .otherwise(F.concat(with_slash, href))
     )
-    # './' and 'x/../' are resolved as a browser does; two levels cover what calendars publish.
-    tidy = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(2):
-        tidy = F.regexp_replace(tidy, r"(?<![/:])/[^/?#.]+/\.\./", "/")
-    return tidy
+    # '.' and '..' are resolved as a browser does, segment by segment.
+    host, path, tail = F.regexp_extract(joined, r"^(https?://[^/?#]*)", 1), F.regexp_extract(joined, r"^https?://[^/?#]*([^?#]*)", 1), F.regexp_extract(joined, r"([?#].*)$", 1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.concat(F.substring(path, 2, 1 << 30), F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")), "/")
+    walked = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(host, F.lit("/"), walked, tail)).otherwise(joined)

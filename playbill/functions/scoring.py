@@ -218,9 +218,9 @@ def travel_score(today: dt.date, distance: Column, interests) -> Column:
 
 def _trust_table() -> dict[str, int]:
     """Normalised display name or alias -> score; built from the fixed registry."""
-    from playbill.functions.similarity import _meaningful
+    from playbill.functions.similarity import telling_words
 
-    norm = lambda s: " ".join(_meaningful(search_text_py(s)))
+    norm = lambda s: " ".join(telling_words(search_text_py(s)))
     by_key = {key: vocab.TRUST_SCORES[trust] for key, _, _, _, trust, _ in vocab.SOURCES}
     table = {norm(alias): by_key[key] for alias, key in vocab.SOURCE_ALIASES.items() if key in by_key}
     table.update({norm(name): vocab.TRUST_SCORES[trust] for _, name, _, _, trust, _ in vocab.SOURCES})

@@ -236,16 +236,16 @@ def _source_url(source: str) -> Column:
     return F.struct(F.coalesce(record, official, ticket, F.lit("")).alias("url"), basis.alias("basis"))
 
 
-def gap_cases(listings: DataFrame, source: str, field: str, today: dt.date, days: int = 30, limit: int = 50) -> DataFrame:
+def gap_cases(listings: DataFrame, source: str, field: str, today: dt.date, days: int = 30, limit: int | None = None) -> DataFrame:
     """Listings of a source that miss a field, cleanly attributable ones first."""
     rows = upcoming(listings, today, days).withColumn("names", names_or_record_sources("source_names", "source_records"))
     rows = rows.filter(F.array_contains("names", source) & quality.missing_detail(field)).withColumn("_u", _source_url(source))
     clean = F.size("names") == 1
+    ordered = rows.orderBy(
+        (~clean).asc(), F.col("start_date"), F.coalesce(F.nullif(txt("start_time"), F.lit("")), F.lit("99:99")), F.lower("title"), "ingest_ord"
+    )
     return (
-        rows.orderBy(
-            (~clean).asc(), F.col("start_date"), F.coalesce(F.nullif(txt("start_time"), F.lit("")), F.lit("99:99")), F.lower("title"), "ingest_ord"
-        )
-        .limit(max(1, limit))
+        (ordered if limit is None else ordered.limit(max(1, limit)))
         .select(
             "id", txt("title").alias("title"), F.col("start_date").alias("date"), txt("start_time").alias("start_time"), txt("venue").alias("venue"),
             F.col("_u.url").alias("url"), F.col("_u.basis").alias("url_basis"),

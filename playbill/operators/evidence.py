@@ -12,10 +12,13 @@ CANDIDATE = "parser_candidate"
 COMPARED_FIELDS = ["start_time", "price"]
 
 
-def batch(cases: DataFrame, limit: int = 9, keys=("source", "field")) -> DataFrame:
-    """First `limit` cases with a URL per source and field, in case order (`case_ord`)."""
+def batch(cases: DataFrame, limit: int | None = None, keys=("source", "field")) -> DataFrame:
+    """Cases with a URL; with a limit the first ones per source and field, in case order (`case_ord`)."""
+    linked = cases.filter(F.trim(txt("url")) != "")
+    if limit is None:
+        return linked
     w = Window.partitionBy(*keys).orderBy("case_ord")
-    return cases.filter(F.trim(txt("url")) != "").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(1, limit)).drop("_n")
+    return linked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(1, limit)).drop("_n")
 
 
 def batch_audit(reviews: DataFrame, keys=("source", "field")) -> DataFrame:

@@ -177,7 +177,7 @@ SELECT id, title, start_date AS date, coalesce(start_time, '') AS start_time, co
   CASE WHEN official_url IS NOT NULL THEN 'official_url' WHEN ticket_url IS NOT NULL THEN 'ticket_url' ELSE 'none' END AS url_basis,
   source_count, array_to_string(source_names, ' · ') AS sources, source_count = 1 AS clean_attribution
 FROM td WHERE {_UP} AND list_contains(source_names, 'Supplier#000000003') AND end_min IS NULL
-ORDER BY source_count > 1, start_date, coalesce(start_time, '99:99'), lower(title), ingest_ord LIMIT 50"""))
+ORDER BY source_count > 1, start_date, coalesce(start_time, '99:99'), lower(title), ingest_ord"""))
 def gap_cases(spark, sf):
     out = catalogue.gap_cases(listings(spark, sf), "Supplier#000000003", "end_time", TODAY)
     return out.select("id", "title", "date", "start_time", "url", "url_basis", F.col("source_count").cast("bigint").alias("source_count"), "sources", "clean_attribution")

@@ -15,7 +15,6 @@ from playbill.functions.text import nz, stable_id, txt
 from playbill.schema import as_listings
 from playbill.sources import registry, rules
 
-DETAIL_LIMIT = 40
 
 
 def rule_table(spark) -> DataFrame:
@@ -158,13 +157,14 @@ def extract(raw_pages: DataFrame, today: dt.date) -> DataFrame:
     return as_listings(keep_first(rows, ["_t", "start_date", "link"]))
 
 
-def detail_links(raw_pages: DataFrame, link_like: str, limit: int = DETAIL_LIMIT) -> DataFrame:
-    """Distinct detail URLs of each list page in page order, at most `limit` per page."""
+def detail_links(raw_pages: DataFrame, link_like: str, limit: int | None = None) -> DataFrame:
+    """Distinct detail URLs of each list page in page order, all of them unless a limit is asked for."""
     links = raw_pages.select("url", "source_key", F.posexplode(pages.page_links("html")).alias("pos", "l"))
     links = links.withColumn("target", booking.absolute_url("url", F.col("l.href"))).filter(F.col("target").rlike(link_like) & (F.rtrim("target", F.lit("/")) != F.rtrim("url", F.lit("/"))))
     first = links.groupBy("url", "source_key", "target").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("url").orderBy("pos")
-    return first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).select("source_key", F.col("url").alias("list_url"), F.col("target").alias("url"), "n")
+    ranked = first.withColumn("n", F.row_number().over(w))
+    return (ranked if limit is None else ranked.filter(F.col("n") <= limit)).select("source_key", F.col("url").alias("list_url"), F.col("target").alias("url"), "n")
 
 
 def detail_pages(raw_pages: DataFrame, links: DataFrame) -> DataFrame:
