@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from playbill import vocab
 from playbill.functions import booking, classify, quality, scoring
-from playbill.functions.text import clean_names, words
+from playbill.functions.text import clean_names, search_text_py, words
 from playbill.operators import booking_reports, catalogue
 from playbill.plans.registry import query
 from playbill.plans.td import TODAY, table, with_td, listings
@@ -90,18 +91,7 @@ def _frontier_titles(df):
     return df.withColumn("category", mapped)
 
 
-_FRONTIER_CASES = {
-    "Stora konserter": ["konsert", "arena", "festival"], "Lokal livemusik": ["live", "livemusik", "jazz", "rock", "pop", "musik"],
-    "Teater & scenkonst": ["teater", "scenkonst", "föreställning", "dans", "musikal"], "Stand-up & humor": ["stand-up", "standup", "komedi", "humor"],
-    "Museum & utställning": ["museum", "utställning", "konst", "vernissage", "openart"], "Familj & barn": ["familj", "barn", "lov", "kids"],
-    "Publiksport": ["fotboll", "hockey", "innebandy", "match", "sport"], "Marknad & mässa": ["marknad", "mässa", "loppis", "expo"],
-    "Mat & dryck": ["mat", "dryck", "vin", "öl", "gastronomi", "food"], "Samtal & föreläsning": ["föreläsning", "samtal", "seminarium", "litteratur", "författar"],
-    "Workshop & deltagande": ["workshop", "verkstad", "prova på", "öppet hus", "kurs"], "Nattliv & klubb": ["klubb", "nightclub", "dj", "nattliv"],
-    "Natur & utomhus": ["natur", "vandring", "friluft", "fåg", "outdoor"], "Säsong & högtid": ["jul", "påsk", "midsommar", "halloween", "advent", "nyår"],
-    "Förening & lokalsamhälle": ["förening", "hembygd", "community", "bygdegård"],
-    "Student & universitet": ["universitet", "student", "campus", "disputation", "docent", "forskning"],
-}
-_SEG_ROWS = ", ".join(f"('{s}', [{', '.join(repr(w) for w in ws)}])" for s, ws in _FRONTIER_CASES.items())
+_SEG_ROWS = ", ".join(f"('{s}', [{', '.join(repr(w) for w in ws)}])" for s, ws in vocab.FRONTIER_SEGMENTS.items())
 _SEG_TEXT = """lower(title || ' ' || event_type || ' ' || replace(replace(replace(replace(replace(replace(category, 'ECONOMY', 'konsert'), 'STANDARD', 'teater'),
   'PROMO', 'marknad'), 'SMALL', 'familj'), 'MEDIUM', 'hockey'), 'LARGE', 'vandring') || ' ' || venue || ' ' || array_to_string(tags, ' '))"""
 
@@ -234,10 +224,9 @@ def quality_rows(spark, sf):
 
 
 def _documents_as_listings(spark, sf):
-    """Documents as rows whose title is their first line."""
-    first = F.substring_index("text", "\n", 1)
+    """Documents as rows whose title is the whole text."""
     return table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ingest_ord"), first.alias("title"), F.col("text").alias("description"), F.array("source").alias("source_names"), F.lit("1998-06-01").alias("start_date"),
+        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ingest_ord"), F.col("text").alias("title"), F.lit("").alias("description"), F.array("source").alias("source_names"), F.lit("1998-06-01").alias("start_date"),
         F.array().cast("array<struct<source:string,external_id:string,source_url:string,fetched_at:string,raw_title:string,confidence:double,payload:map<string,string>>>").alias("source_records"),
     )
 
@@ -249,9 +238,12 @@ def noise_by_source(spark, sf):
     return catalogue.noise_by_source(listings(spark, sf))
 
 
-@query("noise_documents", """WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title FROM documents),
+_BUTTONS = ", ".join(f"'{t}'" for t in sorted({search_text_py(t) for t in vocab.NOISE_TITLES}))
+
+
+@query("noise_documents", f"""WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS title FROM documents),
 n AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS t FROM d)
-SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN t = '' THEN 'high' WHEN length(t) <= 3 THEN 'review' ELSE 'none' END AS severity FROM n""")
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN t IN ('', {_BUTTONS}) OR regexp_matches(t, '^(http|https|www) ') THEN 'high' WHEN length(t) <= 3 THEN 'review' ELSE 'none' END AS severity FROM n""")
 def noise_documents(spark, sf):
     return _documents_as_listings(spark, sf).select("id", quality.noise_severity().alias("severity"))
 
@@ -329,16 +321,25 @@ def url_classes(spark, sf):
     )
 
 
-_TAG_SQL = lambda tag, words: f"CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])({words})([^\\p{{L}}\\p{{N}}_]|$)') THEN '{tag}' END"
+_NO_WORD = r"[^\p{L}\p{N}_]"
+
+
+def _tag_sql(tag: str, patterns: list[str]) -> str:
+    """The tag where one of its rules matches; word borders are spelled out, since DuckDB's know ASCII only."""
+    bare = [p.removeprefix(r"\b") for p in patterns]
+    ends = "|".join(f"{p.removesuffix(chr(92) + 'b')}($|{_NO_WORD})" if p.endswith(r"\b") else p for p in bare)
+    return f"CASE WHEN regexp_matches(t, '(^|{_NO_WORD})({ends})') THEN '{tag}' END"
 
 
-@query("classify_tags", f"""SELECT tag, count(*) AS documents FROM (SELECT unnest(list_filter([{_TAG_SQL('Retro & nostalgi', 'retro|nostalgi|retromania')},
-  {_TAG_SQL('Teknik', 'tech|teknik|technology')}, {_TAG_SQL('Musikal/show', 'show|musical|musikal|revy|cirkus')}, {_TAG_SQL('Festival', 'festival')},
-  {_TAG_SQL('Fordon', 'motor|rally|fordon|automotive|motorsport')}], lambda x: x IS NOT NULL)) AS tag FROM (SELECT lower(text) AS t FROM documents)) GROUP BY tag""")
+_EVERY_TAG = vocab.TAG_RULES | vocab.SPORT_TAG_RULES | {"Sport": [*vocab.TAG_RULES["Sport"], *(p for ps in vocab.SPORT_TAG_RULES.values() for p in ps)]}
+
+
+@query("classify_tags", f"""SELECT tag, count(*) AS documents FROM (
+  SELECT unnest(list_filter([{', '.join(_tag_sql(*rule) for rule in _EVERY_TAG.items())}], lambda x: x IS NOT NULL)) AS tag
+  FROM (SELECT lower(text) AS t FROM documents)) GROUP BY tag""")
 def classify_tags(spark, sf):
-    kept = ["Retro & nostalgi", "Teknik", "Musikal/show", "Festival", "Fordon"]
     tags = classify.tags_of(classify.taxonomy_text(F.lit(""), "text"))
-    return table(spark, sf, "documents").select(F.explode(tags).alias("tag")).filter(F.col("tag").isin(kept)).groupBy("tag").agg(F.count("*").alias("documents"))
+    return table(spark, sf, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("documents"))
 
 
 _SPORT_WORDS = "CASE k7 WHEN 0 THEN 'fotboll derby' WHEN 1 THEN 'badminton open' WHEN 2 THEN 'konsert' WHEN 3 THEN 'golf och hockey' ELSE title END"
@@ -382,11 +383,15 @@ def array_sets(spark, sf):
     )
 
 
-@query("id_signature", "SELECT sha1(string_agg(DISTINCT CAST(n_nationkey AS VARCHAR), chr(10) ORDER BY CAST(n_nationkey AS VARCHAR))) AS signature, count(*) AS ids FROM nation")
+_PARTS = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 10 * i}, 10) AS UBIGINT)), 0) AS VARCHAR)" for i in range(4))
+
+
+@query("id_signature", f"""SELECT sha1(concat_ws('-', {_PARTS})) AS signature, count(*) AS ids
+FROM (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS h FROM orders GROUP BY o_orderkey)""")
 def id_signature(spark, sf):
     from playbill.operators.signature import id_signature as sign
 
-    return sign(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id")))
+    return sign(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")))
 
 
 @query("title_jaccard", """WITH t AS (SELECT DISTINCT p_name, list_distinct(string_split(p_name, ' ')) AS w FROM part)

@@ -103,10 +103,12 @@ def click_idempotent(spark, sf):
     )
 
 
-@query("impressions_once", "SELECT CAST(user_id AS VARCHAR) AS session, event_type AS listing, count(*) > 0 AS seen FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
+@query("impressions_once", "SELECT CAST(user_id AS VARCHAR) AS session, event_type AS listing, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
 def impressions_once(spark, sf):
-    rows = table(spark, sf, "events").filter(F.col("event_type") != "error")
-    return rows.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("listing")).distinct().withColumn("seen", F.lit(True))
+    from playbill.streaming.streams import impressions_once as once
+
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.lit("all").alias("signature"), F.col("event_type").alias("event_id"), F.col("ts").alias("occurred_at"))
+    return once(rows, streaming=False).select(F.col("session_id").alias("session"), F.col("event_id").alias("listing"), F.lit(True).alias("seen"))
 
 
 @query("hourly_funnel", """SELECT CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'click') AS opens,

@@ -76,11 +76,18 @@ def new_clicks(requests: DataFrame) -> DataFrame:
     return requests.withColumn("click_id", F.coalesce("click_id", fresh))
 
 
+def _first(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The earliest row of each key; of rows of one instant the one whose JSON text is smallest."""
+    payload = F.struct(*[c for c in rows.columns if c not in keys])
+    first = rows.groupBy(*keys).agg(F.min_by(payload, F.struct(F.col(at), F.to_json(payload))).alias("_r"))
+    return first.select(*keys, "_r.*").select(*rows.columns)
+
+
 def idempotent_clicks(clicks: DataFrame, streaming: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(clicks with one row per id, rejected ids); a repeated id within the watermark is dropped."""
+    """(clicks with one row per id, rejected ids); in a batch the earliest row wins, in a stream a repeated id within the watermark is dropped."""
     good = F.coalesce(F.startswith("click_id", F.lit(vocab.CLICK_PREFIX)), F.lit(False))
     ok, bad = clicks.filter(good), clicks.filter(~good).withColumn("reason", F.lit("invalid_click_id"))
-    ok = ok.withWatermark("created_at", LATE).dropDuplicatesWithinWatermark(["click_id"]) if streaming else ok.dropDuplicates(["click_id"])
+    ok = ok.withWatermark("created_at", LATE).dropDuplicatesWithinWatermark(["click_id"]) if streaming else _first(ok, ["click_id"], "created_at")
     return ok, bad
 
 
@@ -95,23 +102,22 @@ def accept_conversions(conversions: DataFrame, clicks: DataFrame) -> tuple[DataF
     (click, partner conversion id) is unique; rows without a partner id never collide.
     """
     state_ok = F.col("status").isin(vocab.CONVERSION_STATES)
-    known = clicks.select("click_id", F.lit(True).alias("_known"))
+    known = clicks.select("click_id").distinct().withColumn("_known", F.lit(True))
     joined = conversions.join(known, "click_id", "left")
     ok = F.coalesce(state_ok, F.lit(False)) & F.col("_known").isNotNull()
     reason = F.when(~F.coalesce(state_ok, F.lit(False)), "unsupported_status").otherwise("unknown_click")
     good, bad = joined.filter(ok).drop("_known"), joined.filter(~ok).withColumn("reason", reason).drop("_known")
-    payload = [c for c in good.columns if c not in ("click_id", "partner_conversion_id")]
-    keyed = good.filter(F.col("partner_conversion_id").isNotNull()).groupBy("click_id", "partner_conversion_id").agg(F.min_by(F.struct(*payload), "recorded_at").alias("_r"))
-    once = keyed.select("click_id", "partner_conversion_id", "_r.*").select(*good.columns)
+    once = _first(good.filter(F.col("partner_conversion_id").isNotNull()), ["click_id", "partner_conversion_id"], "recorded_at")
     return once.unionByName(good.filter(F.col("partner_conversion_id").isNull())), bad
 
 
 def conversions_stream(conversions: DataFrame, clicks: DataFrame) -> DataFrame:
     """Stream-static form: known clicks, and one row per partner conversion within the watermark."""
     ok = conversions.filter(F.col("status").isin(vocab.CONVERSION_STATES)).join(clicks.select("click_id"), "click_id", "left_semi")
-    # A null partner id must not collide: give such rows a key of their own.
-    keyed = ok.withColumn("_k", F.coalesce("partner_conversion_id", F.concat(F.lit("\u0001"), F.uuid())))
-    return keyed.withWatermark("recorded_at", LATE).dropDuplicatesWithinWatermark(["click_id", "_k"]).drop("_k")
+    timed = ok.withWatermark("recorded_at", LATE)
+    # A null partner id never collides, so such rows pass beside the state.
+    named = timed.filter(F.col("partner_conversion_id").isNotNull()).dropDuplicatesWithinWatermark(["click_id", "partner_conversion_id"])
+    return named.unionByName(timed.filter(F.col("partner_conversion_id").isNull()))
 
 
 # --- signed clicks (T5) ----------------------------------------------------------------------

@@ -55,6 +55,19 @@ def test_small_and_large_paths_equal_the_plain_loop(spark):
         assert got_large == want
 
 
+def test_each_trust_level_can_take_over_values(spark, monkeypatch):
+    from playbill.functions import scoring
+
+    levels = {"bloggen": 0, "kalendern": 1, "portalen": 2}
+    monkeypatch.setattr(scoring, "_trust_table", lambda: levels)
+    row = lambda i, source, venue: dict(id=f"e{i}", ingest_ord=i, title="Stora Rockkonserten", start_date="2026-09-10", city="Örebro", venue=venue, source_names=[source])
+    rows = [row(0, "Bloggen", "Conventum"), row(1, "Bloggen", "Conventum"), row(2, "Kalendern", "Conventum Arena")]
+    for small_block in (10_000, 0):
+        df = listings(spark, rows)
+        merged = dedupe.merge(df, dedupe.assign(df, small_block)).collect()
+        assert [(r.venue, r.members) for r in merged] == [("Conventum Arena", 3)]
+
+
 def test_hot_group_of_copies_goes_through_rounds(spark):
     rows = random_rows(3, 30)
     copies = [dict(rows[0], id=f"c{i}", ingest_ord=100 + i, title="Samma titel", city="Örebro", start_date="2026-09-10") for i in range(150)]

@@ -60,6 +60,10 @@ def test_clicks_are_idempotent(spark, tmp_path):
     good, bad = streams.idempotent_clicks(one_file_at_a_time(spark, path, CLICKS))
     got = drain(good, tmp_path, "clicks")
     assert sorted(r.click_id for r in got.collect()) == ["upc_1", "upc_2"]
+    late_first = write(tmp_path / "late", [click("upc_1", 9), click("upc_1", 4), click("upc_1", 7)])
+    assert [r.created_at for r in streams.idempotent_clicks(spark.read.schema(CLICKS).json(late_first), streaming=False)[0].collect()] == [
+        r.created_at for r in spark.read.schema(CLICKS).json(late_first).orderBy("created_at").limit(1).collect()
+    ]
     assert streams.idempotent_clicks(spark.read.schema(CLICKS).json(path), streaming=False)[0].count() == 2
     assert streams.unseen(got, got.filter("click_id = 'upc_1'")).count() == 1
     fresh = streams.new_clicks(spark.createDataFrame([(None,), ("upc_x",)], "click_id string")).collect()
@@ -69,7 +73,7 @@ def test_clicks_are_idempotent(spark, tmp_path):
 def test_conversions(spark, tmp_path):
     conv = lambda click, pid, status="confirmed", m=0: dict(recorded_at=at(m), click_id=click, partner_conversion_id=pid, status=status, commission_value=10.0)
     path = write(tmp_path / "in", [conv("c1", "x"), conv("c1", None), conv("nope", "y")], [conv("c1", "x", "pending", 3), conv("c1", None, m=1), conv("c2", "z", "weird")])
-    clicks = spark.createDataFrame([("c1",), ("c2",)], "click_id string")
+    clicks = spark.createDataFrame([("c1",), ("c1",), ("c2",)], "click_id string")
     batch = spark.read.schema(CONVERSIONS).json(path)
     good, bad = streams.accept_conversions(batch, clicks)
     assert sorted((r.partner_conversion_id or "", r.status) for r in good.collect()) == [("", "confirmed"), ("", "confirmed"), ("x", "confirmed")]
