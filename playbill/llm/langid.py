@@ -6,6 +6,7 @@ fewest bytes in sum is chosen, and rejected if the next one is within `LEAST_MAR
 
 Training reads at most `SAMPLE_TEXTS` texts a language, those with the smallest hashes, and keeps
 at most `DICTIONARY_BYTES` of each language: both are parameters of the fit, not of the corpus.
+A language with less labelled text has its own text repeated up to the length of the others.
 
 Defined cases: a text that is null or has no letter is `und`, score 0 and rejected; ties go to the
 first language in code-point order; repeated rows get equal results; without training rows every
@@ -87,10 +88,11 @@ def _build(rows: list[tuple[str, str, int]], dictionary_bytes: int) -> Model:
     parts: dict[str, list[bytes]] = {}
     for lang, text, _ in rows:
         parts.setdefault(lang, []).append(normal(text) + b" ")
-    # Dictionaries of one length, or a longer one would win by its length.
-    size = min([dictionary_bytes, *(sum(map(len, p)) for p in parts.values())])
-    languages = tuple(sorted(parts))
-    return Model(languages, tuple(b"".join(parts[x])[:size] for x in languages))
+    # Dictionaries of one length: that of the longest, a shorter one is repeated, so nothing of any language is left out.
+    raw = {lang: b"".join(p) for lang, p in parts.items()}
+    size = min(dictionary_bytes, max(map(len, raw.values()), default=0))
+    languages = tuple(sorted(raw))
+    return Model(languages, tuple((raw[x] * -(-size // len(raw[x])))[:size] for x in languages))
 
 
 def _compressors(model: Model) -> list:

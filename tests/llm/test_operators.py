@@ -83,6 +83,15 @@ def test_language_held_out(docs):
     assert all(0 <= r["score"] <= 1 for r in scored) and np.mean([r["rejected"] for r in scored]) < 0.02
 
 
+def test_a_language_with_one_short_text_spoils_no_other(spark, docs):
+    stray = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("bigint"), "lang": F.lit("aa"), "text": F.lit("hello")})
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs.unionByName(stray), ~held | (F.col("doc_id") < 0))
+    assert "aa" in model.languages and len({len(d) for d in model.dictionaries}) == 1 and len(model.dictionaries[0]) > 8_000
+    scored = langid.identify(docs, model).filter(held).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in scored]) > 0.95 and np.mean([r["rejected"] for r in scored]) < 0.02
+
+
 def test_packing_places_and_tokens(docs, rows):
     from tokenizers import Tokenizer
 
