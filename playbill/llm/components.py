@@ -35,17 +35,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_slots(rows: DataFrame, keys: list[str], node: str, most: int) -> DataFrame:
-    """Adds `slot`, so that no (keys, slot) has much more than `most` home rows, and no pair is lost.
+    """Adds `slot` and `part`, so that no (keys, slot, part) has much more than `most` home and `most` guest rows, and no pair is lost.
 
-    A home row lives in one slot of its group and is a guest in the later ones; guests go to every
-    slot.  So each pair of homes, and each home with each guest, meets in one slot.
+    Homes and guests of a group are dealt into blocks.  `slot` is the block of the homes, `part` that
+    of their partners: a home block that is not earlier, or a guest block.  Homes meet each other where
+    slot = part, together with the first guest block; elsewhere only homes and guests are to be
+    compared.  So each pair of homes, and each home with each guest, meets exactly once.
     """
-    hot = rows.filter("NOT guest").groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_slots"))
-    dealt = rows.join(hot, keys, "left").withColumn("_slots", F.coalesce("_slots", F.lit(1)))
-    own = F.pmod(F.xxhash64(node, F.lit("slot")), F.col("_slots")).cast("int")
-    first = F.when(F.col("guest"), F.lit(0)).otherwise(own)
-    out = dealt.withColumn("_own", own).withColumn("slot", F.explode(F.sequence(first, F.col("_slots") - 1)))
-    return out.withColumn("guest", F.col("guest") | (F.col("slot") != F.col("_own"))).drop("_own", "_slots")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    sizes = rows.groupBy(*keys).agg(F.count_if(~F.col("guest")).alias("_n"), F.count_if("guest").alias("_m")).filter((F.col("_n") > most) | (F.col("_m") > most))
+    hot = sizes.select(*keys, blocks(F.col("_n")).alias("_homes"), blocks(F.col("_m")).alias("_guests"))
+    dealt = rows.join(hot, keys, "left").withColumns({"_homes": F.coalesce("_homes", F.lit(1)), "_guests": F.coalesce("_guests", F.lit(1))})
+    own = F.pmod(F.xxhash64(node, F.lit("slot")), F.when(F.col("guest"), F.col("_guests")).otherwise(F.col("_homes"))).cast("int")
+    dealt = dealt.withColumn("_own", own)
+    home = """concat(
+        transform(sequence(_own, _homes - 1), p -> named_struct('slot', _own, 'part', p, 'guest', false)),
+        transform(filter(sequence(0, _own), s -> s < _own), s -> named_struct('slot', s, 'part', _own, 'guest', true)),
+        transform(filter(sequence(_homes, _homes + _guests - 1), p -> p > _homes), p -> named_struct('slot', _own, 'part', p, 'guest', false)))"""
+    guest = "transform(sequence(0, _homes - 1), s -> named_struct('slot', s, 'part', if(_own = 0, s, _homes + _own), 'guest', true))"
+    out = dealt.withColumn("_place", F.explode(F.expr(f"if(guest, {guest}, {home})")))
+    return out.select(*[c for c in rows.columns if c != "guest"], "_place.slot", "_place.part", "_place.guest")
 
 
 def joined(matrix, start: int, labels) -> None:

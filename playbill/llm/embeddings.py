@@ -7,7 +7,8 @@ guest in those where one hash is its second choice.  Pairs that meet are verifie
 double precision; a pair is counted in the first table where it meets.  No pair is written: each
 bucket gives, per vector, the links found there and the smallest vector it reaches.
 
-Equal vectors are one node with a count.  Buckets with more than `BUCKET` homes are cut into slots.
+Equal vectors are one node with a count.  Buckets with more than `BUCKET` homes or guests are cut
+into blocks, and each pair of blocks is a group of its own.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, have no link
 and are their own component; vectors of different length never link; rows with the same id but
@@ -126,11 +127,11 @@ def _verify(cosine: float, tables: int):
         nodes, weight, guest = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["guest"].to_numpy()
         x = unit(np.stack(frame["embedding"].to_numpy()))
         edges = np.flatnonzero(np.diff(frame["bucket"].to_numpy(), prepend=np.nan, append=np.nan))
-        parts = [one(int(key[1]), nodes[a:b], weight[a:b], x[a:b], int((~guest[a:b]).sum())) for a, b in zip(edges, edges[1:]) if b - a > 1 and not guest[a]]
+        parts = [one(int(key[1]), nodes[a:b], weight[a:b], x[a:b], int((~guest[a:b]).sum()), key[3] == key[4]) for a, b in zip(edges, edges[1:]) if b - a > 1 and not guest[a]]
         parts = [p for p in parts if p is not None]
         return pd.DataFrame(dict(zip(("node", "links", "root"), map(np.concatenate, zip(*parts))))) if parts else pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
 
-    def one(table, nodes, weight, x, homes):
+    def one(table, nodes, weight, x, homes, inner):
         if len(nodes) <= 64 and not (np.triu(x[:homes] @ x.T, 1) >= cosine).any():  # most buckets
             return None
         order = np.argsort(np.argsort(nodes, kind="stable"), kind="stable")
@@ -141,7 +142,8 @@ def _verify(cosine: float, tables: int):
             end = min(homes, start + step)
             block = x[start:end] @ x.T >= cosine
             block &= nodes[start:end, None] != nodes[None, :]
-            block[:, :homes] &= np.arange(start, end)[:, None] < np.arange(homes)[None, :]  # each pair of homes once
+            # Each pair of homes once, and in one group only.
+            block[:, :homes] &= inner & (np.arange(start, end)[:, None] < np.arange(homes)[None, :])
             if not block.any():
                 continue
             if kept is None:
@@ -180,8 +182,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, tables: int = TABLE
     keys = ["dim", "tab", "bucket"]
     count = routed.filter("tab = 0").count()
     shard = F.pmod(F.xxhash64("bucket"), F.lit(-(-count // SHARD_ROWS) or 1)).cast("int")
-    dealt = in_slots(routed, keys, "node", bucket).select("dim", "tab", "bucket", "slot", "node", "n", "embedding", "guest", shard.alias("shard"))
-    found = cut(dealt.groupBy("dim", "tab", "shard", "slot").applyInPandas(_verify(cosine, tables), "node bigint, links bigint, root bigint"))
+    dealt = in_slots(routed, keys, "node", bucket).select("dim", "tab", "bucket", "slot", "part", "node", "n", "embedding", "guest", shard.alias("shard"))
+    found = cut(dealt.groupBy("dim", "tab", "shard", "slot", "part").applyInPandas(_verify(cosine, tables), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     copies = named.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))

@@ -8,7 +8,8 @@ in one and is a guest in those that its ball overlaps, on one side of each split
 other partner need not travel too.  Inside a shard all 64 bits are compared, so pairs are exact.
 
 Trees are built from at most `SAMPLE` fingerprints; where they split changes the work, never the
-result.  Shards with more than `SHARD` homes are cut into slots.
+result.  Shards with more than `SHARD` homes or guests are cut into blocks, and each pair
+of blocks is a group of its own.
 
 Defined cases: null or empty texts have fingerprint 0 and are linked like any other; fewer than
 four words are one shingle; repeated rows share fingerprint and component; null ids do not give a
@@ -154,6 +155,8 @@ def _links(key, frame):
     for start in range(0, homes, step):
         block = np.bitwise_count(bits[start : min(homes, start + step), None] ^ bits[None, :]) <= DISTANCE
         block[np.arange(len(block)), np.arange(start, start + len(block))] = False
+        if key[2] != key[3]:  # homes meet each other in another group
+            block[:, :homes] = False
         joined(block, start, labels)
     order = np.sort(fps)
     linked = labels != np.argsort(np.argsort(fps, kind="stable"), kind="stable")
@@ -168,7 +171,7 @@ def edges(fps: DataFrame, size: int = SHARD) -> DataFrame:
     sample = [r["fp"] for r in near.collect()]
     routed = cut(shards(fps, count, sample, size)) if sample else fps.selectExpr("fp", "0 AS band", "0 AS leaf", "false AS guest")
     dealt = in_slots(routed, ["band", "leaf"], "fp", size)
-    return dealt.select("band", "leaf", "slot", "fp", "guest").groupBy("band", "leaf", "slot").applyInPandas(_links, "a bigint, b bigint").distinct()
+    return dealt.select("band", "leaf", "slot", "part", "fp", "guest").groupBy("band", "leaf", "slot", "part").applyInPandas(_links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHARD) -> DataFrame:

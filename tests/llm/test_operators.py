@@ -311,6 +311,29 @@ def test_simhash_shards_lose_no_pair(spark):
         assert found == want
 
 
+def test_slots_are_bounded_and_each_pair_meets_once(spark):
+    made = [("hot", i, i >= 200) for i in range(500)] + [("visited", i, i > 0) for i in range(200)] + [("small", i, i > 2) for i in range(6)] + [("away", i, True) for i in range(100)]
+    dealt = components.in_slots(spark.createDataFrame(made, "k string, node int, guest boolean"), ["k"], "node", 20).collect()
+    groups, met = {}, Counter()
+    for r in dealt:
+        groups.setdefault((r["k"], r["slot"], r["part"]), ([], []))[r["guest"]].append(r["node"])
+    for (k, slot, part), (homes, guests) in groups.items():
+        assert len(homes) <= 40 and len(guests) <= 80
+        met.update((k, min(a, b), max(a, b)) for a in homes for b in guests)
+        if slot == part:
+            met.update((k, a, b) for a in homes for b in homes if a < b)
+    want = {(k, a, b) for k, homes, n in (("hot", 200, 500), ("visited", 1, 200), ("small", 3, 6)) for a in range(homes) for b in range(a + 1, n)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_embedding_links_do_not_depend_on_the_block_size(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1, 24)) + rng.normal(size=(150, 24)) * 0.15, rng.normal(size=(60, 24))])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    whole, cut_up = ({tuple(r) for r in embeddings.near_duplicates(table, bucket=b).collect()} for b in (1_000, 7))
+    assert whole == cut_up and max(n for _, n, *_ in whole) > 50
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200)], "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in components.components(edges).collect()}
