@@ -12,13 +12,14 @@ same length, counted in two levels, so a hot length is spread over `BUCKETS` gro
 
 Defined cases: null and empty texts are the end id alone; repeated rows are pieces of their own
 (equal ones may swap places); an empty table gives no rows; further columns are not looked at.
-`NODES` and `WIDTH` bound the search, not the rows: the best solution found is always complete.
+`NODES` and `STEPS` bound the search, not the rows: the best solution found is always complete.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
@@ -31,7 +32,8 @@ from playbill.session import cut
 SEQUENCE = 1024
 END_ID = 2
 BUCKETS = 1024
-NODES, WIDTH, FIT_EVERY = 400, 6, 64
+NODES, FIT_EVERY = 400, 64
+STEPS = 2_000  # partial fillings looked at in one node
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 CACHED = 600_000  # chunks whose ids a worker remembers
 
@@ -169,37 +171,51 @@ def least_bins(counts: Counter, size: int) -> int:
     return max(most, sum(n for s, n in counts.items() if 2 * s > size))
 
 
-def fillings(counts: list[int], room: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room by up to three lengths, least waste first and then the longest lengths.
+def fillings(counts: list[int], room: int, waste: int, steps: int = STEPS) -> list[tuple[int, ...]]:
+    """Undominated fillings of a room that leave at most `waste`, least waste first and then the longest lengths.
 
-    A filling that leaves w is only worth trying if nothing longer fits: so for each first length
-    the partner is the longest one that fits, and fillings are asked for by the waste they leave.
+    A filling is dominated if a further length fits, or if one of its lengths can be swapped for a longer one.
+    Any number of lengths is put together, longest first; `steps` bounds how many are looked at.
     """
-    out: list[tuple[int, ...]] = []
-
-    def pairs(first: tuple[int, ...], left: int) -> None:
-        """Exact fillings of `left` by one or two lengths, on top of `first`."""
-        for a in range(left, (left - 1) // 2, -1):
-            b = left - a
-            if counts[a] > first.count(a) and (not b or counts[b] > first.count(b) + (a == b)) and (not first or a <= first[-1]):
-                out.append((*first, a, b) if b else (*first, a))
-                if len(out) >= WIDTH:
-                    return
-
-    for w in range(min(waste, room) + 1):
-        left = room - w
-        if not left:
-            out.append(())
-        pairs((), left)
-        if not out:
-            for a in range(left - 2, left // 3, -1):
-                if counts[a]:
-                    pairs((a,), left - a)
-                if len(out) >= WIDTH:
-                    break
-        if out:
-            return out
-    return out
+    lengths = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
+    below = [-s for s in lengths]
+    used: Counter = Counter()
+    out: list[tuple[int, tuple[int, ...]]] = []
+    free = lambda s: counts[s] > used[s]
+
+    def undominated(chosen: tuple[int, ...], left: int) -> bool:
+        if any(map(free, lengths[bisect_left(below, -left):])):
+            return False
+        return not any(free(s) for a in set(chosen) for s in lengths[bisect_left(below, -(a + left)) : bisect_left(below, -a)])
+
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack and steps:
+        at, left, chosen = stack.pop()
+        steps -= 1
+        used.clear()
+        used.update(chosen)
+        if left <= waste and undominated(chosen, left):
+            out.append((left, chosen))
+        for i in range(len(lengths) - 1, max(at, bisect_left(below, -left)) - 1, -1):
+            if free(lengths[i]):
+                stack.append((i, left - lengths[i], (*chosen, lengths[i])))
+    return [chosen for _, chosen in sorted(out, key=lambda x: (x[0], [-s for s in x[1]]))]
+
+
+def _completions(left: list[int], steps: tuple, used: int, lost: int, largest: int, size: int, spare: int):
+    """The nodes below one: each filling around the largest length as often as the counts allow, then half as often, down to once."""
+    others = left.copy()
+    others[largest] -= 1
+    for chosen in fillings(others, size - largest, spare):
+        need = Counter((largest, *chosen))
+        gap = size - largest - sum(chosen)
+        times = min(min(left[s] // n for s, n in need.items()), spare // gap if gap else left[largest])
+        while times:
+            after = left.copy()
+            for s, n in need.items():
+                after[s] -= n * times
+            yield after, (((largest, *chosen), times), steps), used + times, lost + gap * times
+            times //= 2
 
 
 def bin_completion(histogram: Counter, size: int = SEQUENCE, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -208,9 +224,12 @@ def bin_completion(histogram: Counter, size: int = SEQUENCE, nodes: int = NODES)
     best = best_fit(histogram, size)
     total = sum(s * n for s, n in histogram.items())
     fewest, floor, seen = sum(m for _, m in best), least_bins(histogram, size), 0
-    stack = [([histogram[s] for s in range(size + 1)], (), 0, 0)]  # counts left, chain of steps, bins, waste
+    stack = [iter([([histogram[s] for s in range(size + 1)], (), 0, 0)])]  # counts left, chain of steps, bins, waste
     while stack and fewest > floor and seen < nodes:
-        left, steps, used, lost = stack.pop()
+        if (node := next(stack[-1], None)) is None:
+            stack.pop()
+            continue
+        left, steps, used, lost = node
         spare = (fewest - 1) * size - total - lost  # waste that a better solution may still have
         if spare < 0:
             continue
@@ -224,19 +243,8 @@ def bin_completion(histogram: Counter, size: int = SEQUENCE, nodes: int = NODES)
                     at = at[1]
                 best, fewest = done + rest, used + sum(m for _, m in rest)
         seen += 1
-        if not largest:
-            continue
-        left[largest] -= 1
-        options = fillings(left, size - largest, spare)
-        left[largest] += 1
-        for chosen in reversed(options):
-            need = Counter((largest, *chosen))
-            gap = size - largest - sum(chosen)
-            times = min(min(left[s] // n for s, n in need.items()), spare // gap if gap else left[largest])
-            after = left.copy()
-            for s, n in need.items():
-                after[s] -= n * times
-            stack.append((after, (((largest, *chosen), times), steps), used + times, lost + gap * times))
+        if largest:
+            stack.append(_completions(*node, largest, size, spare))
     return best
 
 

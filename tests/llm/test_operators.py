@@ -1,6 +1,7 @@
 """The training-data operators against plain loops, and on the rows that tend to break jobs."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -158,6 +159,33 @@ def test_bin_completion_finds_the_optimum():
         assert sum(n for _, n in plan) == _fewest(sizes, 100)
 
 
+def test_fillings_are_all_undominated_ones():
+    for counts, room, waste in (({2: 5, 3: 1, 5: 2, 7: 1}, 17, 3), ({4: 9, 6: 2, 9: 1}, 29, 1), ({1: 3, 8: 2}, 20, 20)):
+        table = [counts.get(s, 0) for s in range(30)]
+        some = [tuple(sorted((s for s, n in zip(counts, take) for _ in range(n)), reverse=True)) for take in itertools.product(*(range(n + 1) for n in counts.values()))]
+        want = set()
+        for f in some:
+            left, free = room - sum(f), [s for s, n in counts.items() if n > f.count(s)]
+            if 0 <= left <= waste and not any(s <= left or a < s <= a + left for s in free for a in (*f, 0)):
+                want.add(f)
+        got = packing.fillings(table, room, waste, 10**6)
+        assert set(got) == want and len(got) == len(want) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_short_lengths_are_packed_near_the_known_optimum():
+    for seed in range(8):  # the pieces of full bins of six lengths
+        rng, sizes, bins = random.Random(seed), Counter(), 0
+        while bins < 60:
+            parts = [rng.randint(130, 240) for _ in range(5)]
+            if 130 <= 1024 - sum(parts) <= 240:
+                sizes.update({s: 20 * n for s, n in Counter([*parts, 1024 - sum(parts)]).items()})
+                bins += 20
+        plan = packing.bin_completion(sizes)
+        assert Counter(s for p, n in plan for s in p for _ in range(n)) == sizes and all(sum(p) <= 1024 for p, _ in plan)
+        assert bins <= sum(n for _, n in plan) <= bins + 2
+    assert sum(n for _, n in packing.bin_completion(Counter({s: 1000 for s in (150, 151, 170, 190, 200)}))) <= 850
+
+
 def _luhn(digits):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, digits[::-1]))) % 10 == 0
 
