@@ -74,7 +74,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     stripped = [x.strip() for x in lines]
     letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
     lower = text.lower()
-    upper = letters and sum(1 for a, b in zip(text, lower) if a != b) if len(lower) == len(text) and text != lower else 0
+    # Lower case of one letter may be several, and then the texts cannot be compared place by place.
+    upper = sum(a != b for a, b in zip(text, lower if len(lower) == len(text) else map(str.lower, text))) if letters and text != lower else 0
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats(words), len(lines), letters, upper,
         sum(map(text.count, ENDS)), sum(x.endswith(("...", "…")) for x in stripped), sum(x[:1] in "•*-" for x in stripped),

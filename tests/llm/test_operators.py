@@ -232,6 +232,15 @@ def test_rules(spark, docs, rows):
         assert r["kept_without_it"] == sum(not x["failed"] & rest for x in got.values()) == len(kept) + r["only_by_it"]
 
 
+def test_capitals_are_counted_beside_a_dotted_capital_i(spark):
+    upper = rules.MEASURES.index("n_upper")
+    assert rules.measure("İSTANBUL VE ANKARA")[upper] == 16 and rules.measure("STANBUL VE ANKARA")[upper] == 15 and rules.measure("istanbul")[upper] == 0
+    texts = [(i, f"{t} ve ankara arasında yolculuk çok uzun sürer ve güzeldir. " * 4) for i, t in enumerate(["istanbul", "İstanbul"])]
+    texts += [(i + 2, t.replace("i", "İ").upper()) for i, t in texts[:1]]
+    shouting = {r["doc_id"]: bool(r["failed"] & rules.BIT["shouting"]) for r in rules.ledger(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert shouting == {0: False, 1: False, 2: True}
+
+
 def test_substrings(spark):
     rng = random.Random(11)
     passages = ["".join(rng.choice("ab \n") for _ in range(n)) for n in (199, 200, 201, 260, 500)]
