@@ -394,6 +394,13 @@ def test_mixing_meets_its_targets(docs):
     assert again.to_dict() == mixed[mixed["copies"] > 0].set_index("doc_id")["copies"].to_dict()
 
 
+def test_mixing_buckets_are_even_for_every_quality(spark):
+    for text in ("## ## ## ##", "a b c d #", "a # # b #", "plain words only"):
+        made = mixing.measured(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("a").alias("source")))
+        sizes = [r["count"] for r in made.groupBy(mixing.bucket_of(F.col("key")).alias("b")).count().collect()]
+        assert max(sizes) < 40 and sum(sizes) == 20_000
+
+
 def test_pipeline_stages(spark, docs, odd, empty):
     small = docs.filter("doc_id < 120")
     for table in (small, odd.select(*docs.columns), empty.select(*docs.columns)):
