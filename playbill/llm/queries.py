@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import embeddings, langid, mixing, packing, pii, quality, rules, secrets, simhash, substrings
+from playbill.llm import embeddings, filter_audit, langid, mixing, packing, pii, quality, rules, secrets, simhash, substrings
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -64,6 +64,46 @@ FROM run
 """
 
 
+AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+m AS (
+  SELECT doc_id, part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+         + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT f, i FROM (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)) AS v(f, i)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE (1 << a.i) + (1 << b.i) + (1 << c.i) + (1 << d.i) + (1 << e.i) = 31
+    AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, CAST(s.step AS INT) AS step, substr(filter_order, s.step, 1) AS f,
+         (SELECT sum(1 << i) FROM letters WHERE contains(substr(filter_order, 1, s.step), f)) AS upto,
+         1 << (SELECT i FROM letters WHERE f = substr(filter_order, s.step, 1)) AS own
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) AS s),
+counted AS (
+  SELECT part, filter_order, step, f,
+         CAST(sum(CASE WHEN mask & upto = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & upto = own THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & own > 0 AND mask & (upto - own) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & upto = own THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & upto = own THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM steps, cells GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op7_secrets", SECRET_SQL)
 def op7_secrets(spark, sf):
     return secrets.report(table(spark, sf, "documents"))
