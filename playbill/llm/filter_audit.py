@@ -97,14 +97,15 @@ def _steps(cell: Column, order: Column) -> Column:
 def fold(counted: DataFrame, names: str) -> DataFrame:
     """(part, filter_order, step, counts, shapley) of cells (part, mask, n, good, toxic); `names` holds a letter for each bit."""
     every = orders(len(names))
-    plan = F.array(*[F.array(*[F.lit(1 << f) for f in order]) for order in every])
+    listed = lambda items: f"array({', '.join(items)})"
+    plan = F.expr(listed(listed(str(1 << f) for f in order) for order in every))
     zeros = F.array_repeat(F.struct(*[F.lit(0).cast("bigint").alias(n) for n in COUNTS]), len(every) * len(names))
     add = lambda a, b: F.struct(*[(a[n] + b[n]).alias(n) for n in COUNTS])
     weighted = lambda cell: F.flatten(F.transform(plan, lambda order: _steps(cell, order)))
     merged = F.aggregate("cells", zeros, lambda acc, cell: F.zip_with(acc, weighted(cell), add))
     # At most 2 ** filters cells meet in a part.
     parts = counted.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells")).select("part", merged.alias("steps"))
-    spelled = F.array(*[F.lit("".join(names[f] for f in order)) for order in every])
+    spelled = F.expr(listed(f"'{''.join(names[f] for f in order)}'" for order in every))
     placed = F.transform("steps", lambda s, i: F.struct(
         F.element_at(spelled, (F.floor(i / len(names)) + 1).cast("int")).alias("filter_order"), (i % len(names) + 1).cast("int").alias("step"),
         *[s[n].alias(n) for n in COUNTS],
