@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from playbill.llm import embeddings, filter_audit, langid, mixing, packing, pii, quality, rules, secrets, simhash, substrings
+from playbill.llm import embeddings, filter_audit, langid, mixing, online_packing, packing, pii, quality, rules, secrets, simhash, spelling, substrings
 from playbill.llm.common import crc_mod, table
 from playbill.plans.registry import query
 
@@ -99,6 +99,49 @@ FROM counted
 """
 
 
+# crc32 is spelled out byte by byte; near words share a key with one letter left out.
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+counted AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS m
+  FROM runs WHERE length(r) >= 6 GROUP BY ALL),
+hexed AS (SELECT r, m, hex(encode(id || ':' || r)) AS x FROM counted),
+hashed AS (
+  SELECT r, m, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS UBIGINT))),
+           lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295::UBIGINT) AS h
+  FROM hexed, bits),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, m FROM hashed),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+keys AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM w, unnest(range(0, length(word))) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM keys a JOIN keys b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT k.word, w.word FROM keys k JOIN w ON k.rest = w.word
+  UNION SELECT w.word, k.word FROM keys k JOIN w ON k.rest = w.word),
+near AS (SELECT pairs.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n FROM pairs JOIN w ON w.word = other GROUP BY pairs.word),
+forms AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+  FROM w LEFT JOIN near USING (word)),
+chain(word, tip) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM (SELECT * FROM chain) c, forms f WHERE f.word = c.tip AND f.form IS NOT NULL)
+SELECT f.word, f.form, c.tip AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.tip AND e.form IS NULL
+"""
+
+
+@query("op12_spelling", SPELLING_SQL)
+def op12_spelling(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op11_online_packing")
+def op11_online_packing(spark, sf):
+    return online_packing.pack_online(table(spark, sf, "documents"))
+
+
 @query("op13_filter_audit", AUDIT_SQL)
 def op13_filter_audit(spark, sf):
     return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
