@@ -175,14 +175,14 @@ def edges(fps: DataFrame, size: int = SHARD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """(doc_id, _id, _k, fp, component_id): component_id is the smallest id that links reach."""
+    """(doc_id, _id, _k, fp, root, component_id): root is the smallest fingerprint that links reach, component_id the smallest id."""
     rows = cut(fingerprints(docs))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(edges(nodes.select("fp"), size))
     grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "_id", "_k", "fp", "component_id")
+    named = grouped.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "_id", "_k", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -190,11 +190,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id, then text hash."""
-    groups = near_duplicates(docs)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_id", "_k")).alias("first"))
-    # Rows whose ids are all null form components of no id; each fingerprint keeps one of them.
-    known = first.filter("component_id IS NOT NULL").select("first._id", "first._k")
-    unknown = groups.filter("component_id IS NULL").groupBy("fp").agg(F.min(F.struct("_id", "_k")).alias("first")).select("first._id", "first._k")
-    kept = carried(docs, "doc_id", "text").join(known.unionByName(unknown), ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"])
+    """The documents without near copies: of each component the row with the smallest id, then text hash; rows without id come last.
+
+    Components are told apart by their root fingerprint: unrelated texts may share an id.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_id", "_k")
+    first = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("first")).select("first._id", "first._k")
+    kept = carried(docs, "doc_id", "text").join(first, ["_id", "_k"], "left_semi").dropDuplicates(["_id", "_k"])
     return kept.select("_row.*")
