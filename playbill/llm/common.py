@@ -33,24 +33,43 @@ def carried(docs: DataFrame, *needed: str) -> DataFrame:
     return with_key(docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join=None) -> Column:
+    """Running sums of an array of whole numbers, or what else `join` gives of two; it reaches twice as far from round to round."""
+    join = join or (lambda a, b: a + b)
+    reach = lambda acc, x, at: F.when(at >= 0, join(x, F.get(acc, at))).otherwise(x)
+    step = lambda acc, k: F.transform(acc, lambda x, i: reach(acc, x, i - F.call_function("shiftleft", F.lit(1), k)))
+    rounds = F.sequence(F.lit(0), F.length(F.bin((F.size(values) - 1).cast("bigint"))) - 1)
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(rounds, values, step))
+
+
+def spans(text: Column, pattern: str, context: int = 0) -> Column:
     """Matches of a Java pattern, leftmost and not overlapping: array of (start, end, hit) in code points.
 
-    The matches and the gaps between them are cut by the same pattern, so running lengths give the places.
+    The matches and the gaps between them are cut by the same pattern, so running lengths give the
+    places; n matches cost n log n steps.  With a context, `before` is at most so many characters
+    ahead of the match, back to the start of the match before it, and `after` the next character.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
-    pair = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    step = lambda acc, x: F.struct(
-        (start(acc, x) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint").alias("at"),
-        F.when(x["hit"].isNull(), acc["out"])
-        .otherwise(F.concat(acc["out"], F.array(F.struct(
-            start(acc, x).cast("bigint").alias("start"), (start(acc, x) + F.length(x["hit"])).cast("bigint").alias("end"), x["hit"].alias("hit"),
-        )))).alias("out"),
-    )
-    found = F.aggregate(pair, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    fields = "start:bigint,end:bigint,hit:string" + ",before:string,after:string" * bool(context)
+    lengths = lambda h, g: F.zip_with(F.slice(g, F.lit(1), F.size(h)), h, lambda a, x: (F.length(a) + F.length(x)).cast("bigint"))
+
+    def placed(h: Column, g: Column, ends: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            end = F.get(ends, i)
+            around = [
+                F.right(F.concat(F.coalesce(F.get(h, i - 1), F.lit("")), F.get(g, i)), F.lit(context)).alias("before"), F.left(F.get(g, i + 1), F.lit(1)).alias("after"),
+            ] if context else []
+            return F.struct((end - F.length(x)).cast("bigint").alias("start"), end.alias("end"), x.alias("hit"), *around)
+
+        return F.transform(h, one)
+
+    found = bound(F.struct(hits.alias("h"), gaps.alias("g")), lambda x: bound(running(lengths(x["h"], x["g"])), lambda ends: placed(x["h"], x["g"], ends)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<struct<{fields}>>"))
 
 
 def spell(found: Column) -> Column:

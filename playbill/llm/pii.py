@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playbill.llm.common import spans, spell, with_key
@@ -88,10 +88,10 @@ def valid(kind: str, hit: Column) -> Column:
 def proposals(keyed: DataFrame) -> DataFrame:
     """doc_id, _id, _k, base: checked spans of the base kinds; more: other proposals, with context."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>")
 
     def of(kind: str) -> Column:
-        found = spans(text, PATTERNS[kind])
+        found = spans(text, PATTERNS[kind], CONTEXT)
         if kind in BASE:
             found = F.filter(found, lambda x: valid(kind, x["hit"]))
         if kind in NEEDS:
@@ -99,10 +99,9 @@ def proposals(keyed: DataFrame) -> DataFrame:
             for need in NEEDS[kind]:
                 held = held | F.contains(text, F.lit(need))
             found = F.when(held, found).otherwise(none)
-        before = lambda x: F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CONTEXT)).cast("int"))
         return F.transform(found, lambda x: F.struct(
             F.lit(list(PATTERNS).index(kind)).alias("ord"), x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"),
-            before(x).alias("before"), F.substring(text, (x["end"] + 1).cast("int"), 1).alias("after"),
+            x["before"].alias("before"), x["after"].alias("after"),
         ))
 
     return keyed.select("doc_id", "_id", "_k", F.concat(*[of(k) for k in PATTERNS]).alias("found"))
@@ -179,22 +178,34 @@ def classifier(voted: DataFrame) -> dict[str, float]:
     return weights
 
 
+def unopposed(voted: DataFrame, accepted: Column) -> DataFrame:
+    """(_id, _k, chosen): of each text the accepted further spans that no base span overlaps.
+
+    Spans of a text meet by start: one overlaps a base span if an earlier one ends behind its start,
+    or a later one starts before its end.
+    """
+    rows = voted.filter(F.col("kind").isin(BASE) | accepted).select("_id", "_k", "ord", "start", "end", "kind", F.col("kind").isin(BASE).alias("own")).dropDuplicates(["_id", "_k", "ord", "start"])
+    earlier = Window.partitionBy("_id", "_k").orderBy("start", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_id", "_k").orderBy(F.desc("start"), F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumns({"reached": F.max(F.when(F.col("own"), F.col("end"))).over(earlier), "next": F.min(F.when(F.col("own"), F.col("start"))).over(later)})
+    free = met.filter(~F.col("own") & (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))
+    return free.groupBy("_id", "_k").agg(F.collect_list(F.struct("ord", "start", "end", "kind")).alias("chosen"))
+
+
 def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, _id, _k, base, found: base spans, and all spans in the order of the kinds, then start."""
     rows = cut(proposals(with_key(docs).select("doc_id", "_id", "_k", "text")))
     voted = cut(votes(rows))
     weights = classifier(voted)
-    base = F.filter("found", lambda x: x["kind"].isin(BASE))
-    kept = base
+    base = F.transform(F.filter("found", lambda x: x["kind"].isin(BASE)), lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    rows = rows.select("doc_id", "_id", "_k", base.alias("base"))
+    kept = F.col("base")
     if weights:
         table = F.create_map(*[x for k, w in sorted(weights.items()) for x in (F.lit(k), F.lit(w))])
         weigh = F.aggregate("features", F.coalesce(F.element_at(table, F.col("kind")), F.lit(0.0)), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
-        chosen = voted.filter(~F.col("kind").isin(BASE)).filter(1 / (1 + F.exp(-weigh)) >= accept).groupBy("_id", "_k").agg(F.collect_set(F.struct("kind", "start")).alias("chosen"))
-        rows = rows.join(chosen, ["_id", "_k"], "left")
-        free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        added = lambda x: F.array_contains(F.col("chosen"), F.struct(x["kind"].alias("kind"), x["start"].alias("start")))
-        kept = F.concat(base, F.when(F.col("chosen").isNull(), F.filter("found", lambda x: F.lit(False))).otherwise(F.filter("found", lambda x: ~x["kind"].isin(BASE) & added(x) & free(x))))
-    return rows.select("doc_id", "_id", "_k", F.array_sort(base).alias("base"), F.array_sort(kept).alias("found"))
+        rows = rows.join(unopposed(voted, 1 / (1 + F.exp(-weigh)) >= accept), ["_id", "_k"], "left")
+        kept = F.when(F.col("chosen").isNull(), F.col("base")).otherwise(F.concat("base", "chosen"))
+    return rows.select("doc_id", "_id", "_k", F.array_sort("base").alias("base"), F.array_sort(kept).alias("found"))
 
 
 def _count(kind: str) -> Column:

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import carried, spans, spell, with_key
+from playbill.llm.common import bound, carried, running, spans, spell, with_key
 from playbill.session import cut
 
 
@@ -45,6 +45,7 @@ RULES = [
 ]
 
 
+BLOCK = 4_096  # characters of a text that are counted at once
 FEW = 16  # exact strings kept together before they become trigrams
 
 
@@ -168,16 +169,32 @@ def report(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     )
 
 
+def _replaced(text: Column, found: Column) -> Column:
+    """The text with each group of overlapping spans, sorted by start, replaced by the kind of its first.
+
+    Texts are cut into blocks, so a piece far inside is found without counting from the start.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK)), lambda k: F.substring(text, (k * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+
+    def piece(cut_up: Column, lo: Column, hi: Column) -> Column:
+        part = lambda k: F.substring(F.get(cut_up, k.cast("int")), (F.greatest(lo - k * BLOCK, F.lit(0)) + 1).cast("int"), (hi - F.greatest(lo, k * BLOCK)).cast("int"))
+        return F.when(hi <= lo, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.floor(lo / BLOCK), F.floor((hi - 1) / BLOCK)), part), ""))
+
+    def joined(cut_up: Column, upto: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0).cast("bigint"))
+        first = F.filter(F.transform(found, lambda x, i: F.struct(before(i).alias("lo"), x["start"].alias("hi"), x["kind"].alias("kind"))), lambda x: x["hi"] >= x["lo"])
+        shown = F.transform(first, lambda x: F.concat(piece(cut_up, x["lo"], x["hi"]), F.lit("<"), x["kind"], F.lit(">")))
+        return F.concat(F.array_join(shown, ""), piece(cut_up, F.element_at(upto, -1), F.length(text).cast("bigint")))
+
+    reached = running(F.transform(found, lambda x: x["end"]), F.greatest)
+    return bound(F.struct(blocks.alias("b"), reached.alias("u")), lambda x: joined(x["b"], x["u"]))
+
+
 def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The documents with every span replaced by `<kind>`; overlapping spans become one, named by the first."""
     keyed = carried(docs, "doc_id", "text")
     found = scan(docs, rules).filter(F.size("found") > 0).groupBy("_id", "_k").agg(F.first("found").alias("_found"))
-    text = F.col("text")
-    out = lambda kept, upto, to: F.concat(kept, F.substring(text, (upto + 1).cast("int"), F.greatest(to - upto, F.lit(0)).cast("int")))
-    step = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(out(acc["out"], acc["at"], x["start"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))
-    )
-    clean = F.aggregate("_found", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: out(acc["out"], acc["at"], F.length(text).cast("bigint")))
+    clean = _replaced(F.col("text"), F.col("_found"))
     row = F.col("_row").withField("text", clean)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
