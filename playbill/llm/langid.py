@@ -1,8 +1,10 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary for zstandard is put together from labelled texts.  A
-text is encoded slice by slice with every dictionary; the language whose dictionary gives the
-fewest bytes in sum is chosen, and rejected if the next one is within `LEAST_MARGIN` of it.
+For each language a raw-content dictionary for zstandard is put together from labelled texts.  The
+whole text, in lower case and with blanks for digits and marks, is encoded slice by slice with every
+dictionary; the language whose dictionary gives the fewest bytes in sum is chosen, and rejected if
+the next one is within `LEAST_MARGIN` of it.  Slices are short, so a text is measured against the
+dictionaries rather than against itself, and a passage counts by its length.
 
 Training reads at most `SAMPLE_TEXTS` texts a language, those with the smallest hashes, and keeps
 at most `DICTIONARY_BYTES` of each language: both are parameters of the fit, not of the corpus.
@@ -15,27 +17,26 @@ text is `und`; an empty table gives no rows; further columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.common import add_columns, hash_sample, with_key
+from playbill.llm.common import add_columns, hash_sample, map_columns, with_key
 
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 16 * 1024
 PASSAGE_WORDS = 25
 CLEANINGS = 2
 SHARE_BYTES = 600  # the most that one training text gives to a dictionary, so that no copy of one text decides
-SLICE = 4096
+SLICE = 1536
 LEVEL = 12
 LEAST_MARGIN = 0.002
 FULL_MARGIN = 0.15
 UNKNOWN = "und"
 
-_CODE = re.compile(r"[\d@]")  # in numbers, addresses and keys
-_GAPS = re.compile(r"[\W\d_]+")
+# Bytes of a text that are looked at: letters of ASCII, and whatever is beyond it.
+_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _COMPRESSORS: dict[int, list] = {}
 
 
@@ -45,15 +46,8 @@ class Model(NamedTuple):
 
 
 def normal(text: str) -> bytes:
-    """Each lower-cased word of the whole text once: marks, digits, case and repetition say nothing about the language."""
-    words: dict[str, None] = {}
-    for token in dict.fromkeys(text.lower().split()):
-        if token.isalpha():
-            words[token] = None
-        elif not _CODE.search(token):
-            words.update(dict.fromkeys(_GAPS.split(token)))
-    words.pop("", None)
-    return " ".join(words or dict.fromkeys(_GAPS.sub(" ", text.lower()).split())).encode()
+    """The whole text in lower case; marks and digits say nothing about the language and become single blanks."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 def sample(docs: DataFrame, usable: Column, texts: int = SAMPLE_TEXTS) -> DataFrame:
@@ -68,8 +62,11 @@ def fit(docs: DataFrame, usable: Column | None = None, texts: int = SAMPLE_TEXTS
     Doubtful is a passage that the dictionaries of the other half of the sample give to another
     language: a wrong label, or a quotation or notice in another language.
     """
-    rows = sorted(sample(docs, F.lit(True) if usable is None else usable, texts).collect(), key=lambda r: (r["lang"], r["h"]))
-    passages = [(r["lang"], p, r["h"] & 1) for r in rows for p in _passages(r["text"])]
+    drawn = sample(docs, F.lit(True) if usable is None else usable, texts)
+    # Passages are cut where the texts lie; what reaches the driver is bounded by the parameters.
+    cut_up = lambda lang, text, h: list(zip(*((a, i, n, p) for a, t, i in zip(lang, text, h) for n, p in enumerate(_passages(t))))) or [[]] * 4
+    rows = sorted(map(tuple, map_columns(drawn, cut_up, "lang string, h bigint, n int, passage string").collect()))
+    passages = [(lang, p, h & 1) for lang, h, _, p in rows]
     for _ in range(CLEANINGS):
         halves = [_build([x for x in passages if x[2] == side], dictionary_bytes) for side in (0, 1)]
         known = set(halves[0].languages) & set(halves[1].languages)
@@ -80,7 +77,7 @@ def fit(docs: DataFrame, usable: Column | None = None, texts: int = SAMPLE_TEXTS
 def _passages(text: str) -> list[str]:
     """Evenly spread passages of a text, `SHARE_BYTES` in sum at most."""
     words = text.split()
-    parts = [" ".join(words[i : i + PASSAGE_WORDS]) for i in range(0, len(words), PASSAGE_WORDS)]
+    parts = [" ".join(words[i : i + PASSAGE_WORDS])[:SHARE_BYTES] for i in range(0, len(words), PASSAGE_WORDS)]
     return parts[:: max(1, -(-len(parts) * PASSAGE_WORDS * 6 // SHARE_BYTES))]
 
 
@@ -113,8 +110,9 @@ def _compressors(model: Model) -> list:
 
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
     """(language, score, rejected) of one whole text."""
-    if not text or not model.languages or not (data := normal(text)).strip():
+    if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
+    data = normal(text)
     slices = [data[i : i + SLICE] for i in range(0, len(data), SLICE)]
     sizes = [sum(len(c.compress(s)) for s in slices) for c in _compressors(model)]
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
