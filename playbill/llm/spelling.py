@@ -182,7 +182,8 @@ def near(vocabulary: DataFrame, letters: list[str], levels: int, size: int = SHA
         return pd.DataFrame({"word": text([found[i] for i in best]), "n_near": [x[0] for x in best.values()], "form_n": [-x[1] for x in best.values()], "form": text([x[2] for x in best.values()])})
 
     dealt = in_slots(shards(vocabulary, letters, levels), ["shard"], "word", size)
-    parts = dealt.select("shard", "slot", "part", "word", "n", "guest").groupBy("shard", "slot", "part").applyInPandas(run, "word string, n_near bigint, form_n bigint, form string")
+    # Dealt by the whole key: the blocks of a hot shard are not to stay where its rows met to be counted.
+    parts = dealt.select("shard", "slot", "part", "word", "n", "guest").repartition("shard", "slot", "part").groupBy("shard", "slot", "part").applyInPandas(run, "word string, n_near bigint, form_n bigint, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.less")).alias("form_n"), "b.form")
 
