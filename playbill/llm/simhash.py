@@ -171,7 +171,8 @@ def edges(fps: DataFrame, size: int = SHARD) -> DataFrame:
     sample = [r["fp"] for r in near.collect()]
     routed = cut(shards(fps, count, sample, size)) if sample else fps.selectExpr("fp", "0 AS band", "0 AS leaf", "false AS guest")
     dealt = in_slots(routed, ["band", "leaf"], "fp", size)
-    return dealt.select("band", "leaf", "slot", "part", "fp", "guest").groupBy("band", "leaf", "slot", "part").applyInPandas(_links, "a bigint, b bigint").distinct()
+    # Dealt by the whole key: the blocks of a hot shard are not to stay where its rows met to be counted.
+    return dealt.select("band", "leaf", "slot", "part", "fp", "guest").repartition("band", "leaf", "slot", "part").groupBy("band", "leaf", "slot", "part").applyInPandas(_links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHARD) -> DataFrame:
