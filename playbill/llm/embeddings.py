@@ -2,8 +2,9 @@
 
 Vectors are normalised, padded to a power of two and turned by three rounds of random signs and a
 fast Hadamard transform.  The coordinate of largest magnitude, with its sign, is one hash; a bucket
-joins `HASHES` of them, and there are `TABLES` tables.  A vector lives in its own bucket and is a
-guest in those where one hash is its second choice.  Pairs that meet are verified by the cosine in
+joins some of them, and there are several tables: as many hashes as keep the mean bucket within
+`MEAN_BUCKET` vectors, and the more hashes, the more tables, so recall stays where it is while the
+corpus grows.  A vector lives in its own bucket and is a guest in those where one hash is its second choice.  Pairs that meet are verified by the cosine in
 double precision; a pair is counted in the first table where it meets.  No pair is written: each
 bucket gives, per vector, the links found there and the smallest vector it reaches.
 
@@ -24,21 +25,30 @@ from playbill.llm.components import components, in_slots, joined
 from playbill.session import cut
 
 COSINE = 0.95
-TABLES = 5
-HASHES = 2
+TABLES = {2: 5, 3: 10, 4: 18}  # tables for that many hashes
+MEAN_BUCKET = 64
 ROUNDS = 3
 BUCKET = 1_000
 SHARD_ROWS = 4_000  # rows that one task call takes; buckets are only gathered into shards to save calls
 _SIGNS: dict[tuple[int, int], list] = {}
 
 
-def signs(dim: int, tables: int = TABLES):
+def width_of(dim: int) -> int:
+    return 1 << max(0, (dim - 1).bit_length())
+
+
+def hashes_for(count: int, dim: int) -> int:
+    """Hashes that a bucket joins, so that `count` vectors of this length fill the buckets with `MEAN_BUCKET` on the mean."""
+    return next((h for h in sorted(TABLES) if (2 * width_of(dim)) ** h * MEAN_BUCKET >= count), max(TABLES))
+
+
+def signs(dim: int, hashes: int):
     import numpy as np
 
-    if (dim, tables) not in _SIGNS:
+    if (dim, hashes) not in _SIGNS:
         rng = np.random.default_rng(1_000 + dim)
-        _SIGNS[dim, tables] = rng.choice([-1.0, 1.0], size=(tables, HASHES, ROUNDS, dim))
-    return _SIGNS[dim, tables]
+        _SIGNS[dim, hashes] = rng.choice([-1.0, 1.0], size=(TABLES[hashes], hashes, ROUNDS, dim))
+    return _SIGNS[dim, hashes]
 
 
 def hadamard(x):
@@ -61,15 +71,15 @@ def unit(vectors):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def codes(vectors, table: int, tables: int = TABLES):
+def codes(vectors, table: int, hashes: int):
     """(home bucket, guest buckets) of unit vectors in one table."""
     import numpy as np
 
-    width = 1 << max(0, (vectors.shape[1] - 1).bit_length())
+    width = width_of(vectors.shape[1])
     padded = np.zeros((len(vectors), width))
     padded[:, : vectors.shape[1]] = vectors
     first, second = [], []
-    for s in signs(width, tables)[table]:
+    for s in signs(width, hashes)[table]:
         x = padded
         for r in range(ROUNDS):
             x = hadamard(x * s[r])
@@ -81,12 +91,12 @@ def codes(vectors, table: int, tables: int = TABLES):
             to.append(2 * column + (x[np.arange(len(x)), column] < 0))
     base = 2 * width
     home = sum(c * base**i for i, c in enumerate(first))
-    guests = [sum((second[i] if i == j else c) * base**i for i, c in enumerate(first)) for j in range(HASHES)]
+    guests = [sum((second[i] if i == j else c) * base**i for i, c in enumerate(first)) for j in range(hashes)]
     return home, guests
 
 
-def buckets(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(node, n, embedding, dim, tab, bucket, guest)"""
+def buckets(nodes: DataFrame, count: int) -> DataFrame:
+    """(node, n, embedding, dim, tab, bucket, guest) of about `count` nodes."""
     from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
     schema = StructType([
@@ -103,8 +113,9 @@ def buckets(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 x = unit(np.array(batch.column(2).take(pa.array(rows)).flatten()).reshape(len(rows), dim))
-                for t in range(tables):
-                    home, guests = codes(x, t, tables)
+                hashes = hashes_for(count, int(dim))
+                for t in range(TABLES[hashes]):
+                    home, guests = codes(x, t, hashes)
                     for is_guest, column in ((False, home), *((True, g) for g in guests)):
                         use = np.flatnonzero(column != home) if is_guest else np.arange(len(rows))
                         own = batch.take(pa.array(rows[use]))
@@ -117,7 +128,7 @@ def buckets(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
     return nodes.select("node", "n", "embedding").mapInArrow(run, schema)
 
 
-def _verify(cosine: float, tables: int):
+def _verify(cosine: float, count: int):
     import numpy as np
     import pandas as pd
 
@@ -147,7 +158,7 @@ def _verify(cosine: float, tables: int):
             if not block.any():
                 continue
             if kept is None:
-                kept = [codes(x, t, tables) for t in range(table + 1)]
+                kept = [codes(x, t, hashes_for(count, x.shape[1])) for t in range(table + 1)]
             joined(block, start, labels)
             left, right = np.nonzero(block)
             left += start
@@ -171,19 +182,21 @@ def _verify(cosine: float, tables: int):
     return run
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, bucket: int = BUCKET) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, bucket: int = BUCKET, expected: int | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept.  `expected` sets the hashes as for so many vectors."""
     size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("embedding").isNotNull() & F.coalesce(~odd, F.lit(False)) & (F.coalesce(size, F.lit(0.0)) > 0)
     named = cut(rows.select("vec_id", F.when(usable, F.xxhash64("embedding")).alias("node"), F.when(usable, F.col("embedding")).alias("embedding")))
     nodes = named.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
-    routed = cut(buckets(nodes, tables))
+    total = expected or named.select("node").distinct().count()
+    routed = cut(buckets(nodes, total))
     keys = ["dim", "tab", "bucket"]
     count = routed.filter("tab = 0").count()
     shard = F.pmod(F.xxhash64("bucket"), F.lit(-(-count // SHARD_ROWS) or 1)).cast("int")
     dealt = in_slots(routed, keys, "node", bucket).select("dim", "tab", "bucket", "slot", "part", "node", "n", "embedding", "guest", shard.alias("shard"))
-    found = cut(dealt.groupBy("dim", "tab", "shard", "slot", "part").applyInPandas(_verify(cosine, tables), "node bigint, links bigint, root bigint"))
+    # Dealt by the whole key: the blocks of a hot bucket are not to stay where its rows met to be counted.
+    found = cut(dealt.repartition("dim", "tab", "shard", "slot", "part").groupBy("dim", "tab", "shard", "slot", "part").applyInPandas(_verify(cosine, total), "node bigint, links bigint, root bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     copies = named.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
