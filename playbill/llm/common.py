@@ -131,3 +131,18 @@ def hash_sample(rows: DataFrame, group: str, h: Column, most: int) -> DataFrame:
     near = hashed.join(F.broadcast(sizes), group).filter(F.pmod("_h", F.lit(1 << 30)).cast("double") * F.col("_n") < F.lit(3.0 * most * (1 << 30)))
     ranked = near.dropDuplicates([group, "_h"]).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h")))
     return ranked.filter(F.col("_r") <= most).drop("_n", "_r")
+
+
+HEAVY = 10_000  # shares of all rows from which a key counts as hot
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The stored rows whose key is among the keys (one row each, with `n`, how many of the rows have it).
+
+    A key that more than one row in `HEAVY` has is sent to the rows, there being at most `HEAVY` such
+    keys; the other rows are shuffled, so no task gets many more rows than that share.
+    """
+    limit = rows.count() / HEAVY
+    heavy = F.broadcast(keys.filter(F.col("n") > limit).select(*on))
+    light = keys.filter(F.col("n") <= limit).select(*on)
+    return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))

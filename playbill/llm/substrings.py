@@ -28,6 +28,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playbill.llm.common import semi_join
 from playbill.session import cut
 
 LENGTH = 200
@@ -232,10 +233,10 @@ def _open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     themselves, but their string is one that others may partly equal.
     """
     weight = F.sum(F.when(F.col("often"), 2).otherwise(1))
-    dictionary = rows.groupBy("g", "c").agg((weight > 1).alias("often"), F.min(F.struct("k", "seg")).alias("one"))
-    dictionary = cut(dictionary.select("g", "c", "often", "one.k", "one.seg"))
-    shared = dictionary.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    opened = dictionary.join(shared, "g", "left_semi").groupBy("k").agg(F.collect_list(F.struct("seg", "often")).alias("segs"))
+    dictionary = rows.groupBy("g", "c").agg((weight > 1).alias("often"), F.count("*").alias("n"), F.min(F.struct("k", "seg")).alias("one"))
+    dictionary = cut(dictionary.select("g", "c", "often", "n", "one.k", "one.seg"))
+    shared = dictionary.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    opened = semi_join(dictionary.drop("n"), shared, ["g"]).groupBy("k").agg(F.collect_list(F.struct("seg", "often")).alias("segs"))
     return dictionary, opened
 
 
@@ -243,19 +244,18 @@ def repeated(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k, seg): places whose windows all occur elsewhere."""
     texts = zipped(keyed).drop("doc_id").dropDuplicates(["k"])
     rows = cut(parse(keyed, length))
-    twice = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    rows = cut(rows.join(twice, "g", "left_semi"))
+    rows = cut(semi_join(rows, rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), ["g"]))
     dictionary, opened = _open(rows.withColumn("often", F.lit(False)))
-    whole = rows.join(dictionary.filter("often").select("g", "c"), ["g", "c"], "left_semi").select("k", "seg")
+    whole = semi_join(rows, dictionary.filter("often"), ["g", "c"]).select("k", "seg")
     # The texts that are opened, once, for both steps.
     opened = cut(opened.join(texts, "k").select("k", "z", "segs"))
     parts = cut(blocks(opened, length))
     inner, left = _open(parts)
-    in_blocks = parts.filter("NOT often").join(inner.filter("often").select("g", "c"), ["g", "c"], "left_semi").select("k", "seg")
+    in_blocks = semi_join(parts.filter("NOT often"), inner.filter("often"), ["g", "c"]).select("k", "seg")
     windows = cut(suffixes(left.join(opened.select("k", "z"), "k").select("k", "z", "segs"), length))
     weight = F.sum(F.when(F.col("often"), 2).otherwise(1))
-    again = windows.groupBy("w1", "w2").agg(weight.alias("n"), F.bool_or(~F.col("often")).alias("single")).filter("n > 1 AND single").select("w1", "w2")
-    edges = windows.filter("NOT often").join(again, ["w1", "w2"], "left_semi").select("k", (F.col("p") * PLACE + 1).alias("seg"))
+    again = windows.groupBy("w1", "w2").agg(weight.alias("n"), F.bool_or(~F.col("often")).alias("single")).filter("n > 1 AND single")
+    edges = semi_join(windows.filter("NOT often"), again, ["w1", "w2"]).select("k", (F.col("p") * PLACE + 1).alias("seg"))
     return whole.unionByName(in_blocks).unionByName(edges)
 
 
