@@ -1,6 +1,6 @@
 """Mixing sources to target weights by exponential keys (weighted sampling without replacement).
 
-Every document draws a key -ln(u) / quality, u from a hash of its id, so reruns agree.  A source
+Every document draws a key -ln(u) / quality, u from a hash of its id and text, so reruns agree.  A source
 is taken in complete epochs first; what is left of its target goes to the documents with the
 smallest keys, by a prefix sum of sizes, up to the document whose middle reaches the rest.
 
@@ -32,7 +32,8 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
     marks = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    draw = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    # The text takes part, so that rows without id, or with one and the same, draw apart.
+    draw = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
     u = (F.conv(F.substring(draw, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     quality = F.when(F.col("size") > 0, F.greatest(F.lit(0.1), 1.0 - F.col("marks") / F.col("size"))).otherwise(1.0)
     return (

@@ -43,7 +43,7 @@ MIX_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
          length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{mixing.SYMBOLS}', '')) AS marks,
-         (CAST(('0x' || substr(md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS UBIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+         (CAST(('0x' || substr(md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 12)) AS UBIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / CASE WHEN size > 0 THEN greatest(0.1::DOUBLE, 1::DOUBLE - marks::DOUBLE / size::DOUBLE) ELSE 1::DOUBLE END AS key FROM d),
 s AS (
