@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, texts:
     known = labels.filter(F.col("quality").isin(0, 1) & (F.lit(True) if usable is None else usable)).select(F.col("doc_id").alias("_doc"), F.col("quality").cast("int").alias("quality")).distinct()
     # Ids are drawn first, so the sample of `texts` ids a label is what is sent to the documents.
     drawn = hash_sample(known, "quality", F.xxhash64(F.col("_doc").cast("string"), F.lit("quality")), texts)
-    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_doc")).select("quality", "_h", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_doc")).groupBy("quality", "_h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text an id
 
     def cut_passages(quality, h, text):
         out = [[], [], []]
