@@ -18,9 +18,11 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playbill import vocab
+
 _SEP, _KV = "\u0001", "\u0002"
 
-FILLER_WORDS_RE = r"(?U)\b(live|official|tickets?|biljetter|tour|202[0-9])\b"
+FILLER_WORDS_RE = rf"(?U)\b({vocab.FILLER_WORDS_RE})\b"
 
 
 @lru_cache(maxsize=1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from playbill import vocab
 from playbill.functions.classify import recall_segment
-from playbill.functions.similarity import recall_score
+from playbill.functions.similarity import letter_counts, plain_recall_score, ratio_bound, seq_ratio
 from playbill.functions.text import ratio, recall_title, txt
 from playbill.session import cut
 
@@ -27,9 +27,15 @@ def candidates(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL
     # The literal bound lets every task drop surplus copies before they are shuffled together.
     most = block.agg(F.coalesce(F.max("n_refs"), F.lit(0)).alias("m")).first().m
     rows = cut(rows.withColumn("copy", F.row_number().over(w)).filter((F.col("copy") <= most) & (F.col("copy") <= F.col("n_refs"))))
-    titles = rows.select("d", "c", "lt").distinct()
-    pairs = r.select("d", "c", "rt").distinct().join(titles, ["d", "c"])
-    scored = pairs.withColumn("score", recall_score(F.col("rt"), F.col("lt"))).filter(F.col("score") >= floor)
+    a, b = F.col("rt"), F.col("lt")
+    titles = rows.select("d", "c", "lt").distinct().withColumn("ln", letter_counts(b))
+    pairs = r.select("d", "c", "rt").distinct().withColumn("rn", letter_counts(a)).join(titles, ["d", "c"])
+    # Python sees a pair only where the letters of both leave its sequence ratio a chance to decide.
+    bounded = pairs.select("d", "c", "rt", "lt", plain_recall_score(a, b).alias("plain"), F.when((a == "") | (b == ""), 0.0).otherwise(ratio_bound(a, b, F.col("rn"), F.col("ln"))).alias("bound"))
+    undecided = (F.col("bound") > F.col("plain")) & (F.col("bound") >= floor)
+    settled = bounded.filter(~undecided & (F.col("plain") >= floor)).withColumn("score", F.col("plain"))
+    open_ = bounded.filter(undecided).withColumn("score", F.greatest("plain", seq_ratio(a, b))).filter(F.col("score") >= floor)
+    scored = settled.unionByName(open_).select("d", "c", "rt", "lt", "score")
     return scored.join(r, ["d", "c", "rt"]).join(rows, ["d", "c", "lt"]).select("ref_ord", "listing_ord", "score")
 
 

@@ -355,3 +355,15 @@ CITY_API_TYPES = {
     "stage-film": "Scen & film", "guided-tours": "Guidning",
     "family": "Familj", "food-drink": "Mat & dryck", "markets": "Marknad",
 }
+
+# Words that say nothing about which event a title names.
+FILLER_WORDS_RE = r"live|official|tickets?|biljetter|tour|202[0-9]"
+
+# Wording of ticket-shop tiles, in the order in which it decides, with type and category.
+TILE_BUCKET = "Lokalt"
+TILE_WORDS = [
+    (["middag", "vinprovning", "ölprovning", "matmarknad"], "Mat & dryck", "Mat & dryck"),
+    (["ritz", "nattklubb", "klubbkväll", "dj ", "danskväll", "dansband"], "Nattliv", "Nattliv"),
+    (["rockbar", "jazz", "konsert", "live", " late night jam", "jam "], "Konsert", "Musik"),
+    (["dockteater"], "Teater", "Teater"),
+]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from playbill import vocab
 from playbill.functions.similarity import title_match, venue_match
-from playbill.operators import productions, recall
+from playbill.operators import productions, recall, title_pairs
 from tests.factory import listings
 
 TITLES = ["Svansjön", "Svan sjön", "Nötknäpparen balett", "Nötknäpparens balett", "Konstrundan i parken", "Konstrundan i parken med Anna", "Matchen", "", "Cirkus Cirkör presenterar sommar", "Cirkus Cirkör presenterar sommar!"]
@@ -62,7 +62,7 @@ def test_title_keys_miss_no_similar_title(spark):
             titles |= {t[:i] + t[i + 1:], t[:i] + rnd.choice("xyz") + t[i:], t + " med kor"}
     titles = sorted({" ".join(t.split()) for t in titles} - {""})
     df = spark.createDataFrame([(t,) for t in titles], "t string")
-    got = {(r.first, r.second) for r in productions.similar_titles(df).collect()}
+    got = {(r.first, r.second) for r in title_pairs.similar_titles(df).collect()}
     want = {(a, b) for a in titles for b in titles if title_match(a, b, 0.92) >= 0.92}
     assert got == want
 
