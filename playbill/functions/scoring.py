@@ -165,16 +165,20 @@ def trust_points() -> Column:
 
 def rank_columns(request: SearchRequest, distance: Column) -> dict[str, Column]:
     """score, reasons (three at most) and distance of one listing for one request; needs `with_request_columns`."""
-    days, sek, t = col("_days"), col("_sek"), col("_trust")
-    q = query_points(request.query)
-    interest, interest_reason = interest_points(request.interests)
-    limit = vocab.PRICE_LIMITS.get(request.price)
+    sek, limit = col("_sek"), vocab.PRICE_LIMITS.get(request.price)
     within = F.when(sek <= limit * 0.5, 10).otherwise(5) if limit else F.lit(2)
-    p = F.when(col("_free"), 14).when(sek.isNotNull(), within).otherwise(0)
-    raw = q + interest + distance_points(distance) + time_points(days) + p + t - F.when(col("_demo"), 100).otherwise(0)
+    price = F.when(col("_free"), 14).when(sek.isNotNull(), within).otherwise(0)
+    return summed(query_points(request.query), interest_points(request.interests), distance, price)
+
+
+def summed(query: Column, interests: tuple[Column, Column], distance: Column, price: Column) -> dict[str, Column]:
+    """score, reasons and distance from the points for query, interests and price; the rest comes from the prepared columns."""
+    days, t = col("_days"), col("_trust")
+    interest, interest_reason = interests
+    raw = query + interest + distance_points(distance) + time_points(days) + price + t - F.when(col("_demo"), 100).otherwise(0)
     score = F.when(col("_broken"), F.least(raw, F.lit(vocab.QUALITY_SCORE_CAP))).otherwise(raw)
     trust_reason = F.when(t == 5, F.concat(F.lit("sources: "), F.when(col("_sources") > 0, col("_sources")).otherwise(2).cast("string")))
-    parts = (_query_reason(q), interest_reason, _distance_reason(distance), _time_reason(days), _price_reason(p), trust_reason)
+    parts = (_query_reason(query), interest_reason, _distance_reason(distance), _time_reason(days), _price_reason(price), trust_reason)
     # Nulls are skipped by the join, so three parts at most survive the split.
     found = F.split(F.concat_ws("\u0001", *parts), "\u0001")
     found = F.array_remove(found, "")

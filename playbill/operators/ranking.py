@@ -30,7 +30,12 @@ PER_TYPE = 3360
 
 
 def visible(listings: DataFrame, today) -> DataFrame:
-    """Base visibility: no demo rows, no navigation noise, not over, sport within scope."""
+    """Base visibility: no demo rows, no navigation noise, not over, sport within scope.
+
+    A stored `last_date` is compared as text, which valid dates imply; it is the part that a scan can prune with.
+    """
+    if "last_date" in listings.columns:
+        listings = listings.filter(F.col("last_date") >= today.isoformat())
     return listings.filter(
         ~F.coalesce("is_demo", F.lit(False))
         & dates.period_matches("start_date", "end_date", "excluded_dates", "any", today)
@@ -88,6 +93,8 @@ def prepare(listings: DataFrame, requests) -> tuple[DataFrame, dict]:
     if len(days) != 1:
         raise ValueError("requests of one evaluation share their day")
     soon = listings.filter(F.col("start_date") <= latest.isoformat())
+    if "last_date" in listings.columns:
+        soon = soon.filter(F.col("last_date") >= min(lo for lo, _ in windows).isoformat()).drop("last_date")
     return _distances(with_location(scoring.with_request_columns(soon, days.pop())), requests)
 
 

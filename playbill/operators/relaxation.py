@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playbill import vocab
 from playbill.functions.scoring import SearchRequest
-from playbill.operators import ranking
+from playbill.operators import productions, ranking
 
 KIND_ORDER = {"time": 1, "radius": 2, "price": 3, "new": 4, "time_radius": 5}
 MAX_SUGGESTIONS = 3
@@ -69,21 +71,49 @@ def choose(hits: DataFrame) -> DataFrame:
     return ranked.filter(keep).select("request_id", "kind", "step", "hits", "suggestion")
 
 
+SHOWN = ["city", "category", "tags", "end_date", "official_url"]  # what a production is told by, besides the ranked columns
+
+
+def claim(ranked: DataFrame, per_suggestion: int) -> DataFrame:
+    """The cards of each suggestion: what an earlier suggestion of the request shows is not shown again.
+
+    Suggestions take in their order.  A listing, or any listing of a production, belongs to the first
+    that takes it; the later ones go on with their next ranks.  At most `MAX_SUGGESTIONS` first pages
+    of a request meet in a group.
+    """
+    rows = productions.production_columns(ranked.withColumn("g", F.lit("")))
+    out = T.StructType([*ranked.drop("position", *SHOWN).schema.fields, T.StructField("position", T.IntegerType())])
+    names = [f.name for f in out]
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf.sort_values(["suggestion", "position"]).index
+        records = dict(zip(pdf.index, pdf.astype(object).where(lambda x: x.notna(), None).to_dict("records")))
+        taken: list[dict] = []
+        shown: dict[int, list] = {}
+        for i in order:
+            row = records[i]
+            cards = shown.setdefault(row["suggestion"], [])
+            if len(cards) < per_suggestion and not any(x["id"] == row["id"] or productions.same_card(x, row) for x in taken):
+                cards.append(i)
+                taken.append(row)
+        kept = pdf.loc[[i for cards in shown.values() for i in cards]].copy()
+        kept["position"] = [n for cards in shown.values() for n in range(1, len(cards) + 1)]
+        return kept[names]
+
+    return rows.groupBy("base_id").applyInPandas(take, out)
+
+
 def suggest(listings: DataFrame, requests: list[SearchRequest], per_suggestion: int = 3) -> DataFrame:
-    """Chosen relaxations with their best listings."""
+    """Chosen relaxations with their best listings, none of them shown twice for a request."""
     plans = {s.request.request_id: s for r in requests for s in scenarios(r)}
     picked = choose(scenario_hits(listings, requests)).collect()  # at most three rows per request
-    chosen = [plans[f"{p.request_id}|{p.kind}|{p.step}"] for p in picked]
-    if not chosen:
-        empty = ranking.score_requests(listings.limit(0), [s.request for s in list(plans.values())[:1]])
-        return ranking.rank_top(empty, per_suggestion).withColumns({"kind": F.lit(""), "step": F.lit(0), "suggestion": F.lit(0)})
-    scored = ranking.score_requests(listings, [s.request for s in chosen])
-    best = ranking.diversify(scored, per_suggestion)
-    info = {p_key: p for p_key, p in zip([s.request.request_id for s in chosen], picked)}
-
-    def field(get) -> Column:
-        return F.create_map(*[F.lit(x) for key, p in info.items() for x in (key, get(p))])[F.col("request_id")]
-
-    return best.withColumns(
-        {"kind": field(lambda p: p.kind), "step": field(lambda p: p.step), "suggestion": field(lambda p: p.suggestion), "request_id": field(lambda p: p.request_id)}
-    )
+    chosen = [plans[f"{p.request_id}|{p.kind}|{p.step}"] for p in picked] or [next(iter(plans.values()))]
+    source = listings if picked else listings.limit(0)
+    best = ranking.diversify(ranking.score_requests(source, [s.request for s in chosen], keep=SHOWN), ranking.PAGE)
+    info = {s.request.request_id: p for s, p in zip(chosen, picked)}
+
+    def field(get, kind: str) -> Column:
+        return F.create_map(*[F.lit(x) for key, p in info.items() for x in (key, get(p))])[F.col("request_id")] if info else F.lit(None).cast(kind)
+
+    named = best.withColumns({"kind": field(lambda p: p.kind, "string"), "step": field(lambda p: p.step, "int"), "suggestion": field(lambda p: p.suggestion, "int"), "base_id": field(lambda p: p.request_id, "string")})
+    return claim(named, per_suggestion).withColumn("request_id", F.col("base_id")).drop("base_id")

@@ -10,7 +10,7 @@ from playbill.functions import dates, geo, labels, scoring, showtimes
 from playbill.functions.scoring import SearchRequest
 from playbill.operators import catalogue, ranking, relaxation
 from playbill.plans.registry import query
-from playbill.plans.td import NOW, TODAY, table, with_td, listings
+from playbill.plans.td import CITIES, NOW, TODAY, table, with_td, listings
 
 REQUESTS = [
     SearchRequest("near_orebro", TODAY, NOW, "Örebro", "next_30_days", 200),
@@ -45,9 +45,9 @@ def km_sql(lat, lon, to_lat="lat", to_lon="lon"):
     return f"CAST(round_even(2 * 6371.0::DOUBLE * atan2(sqrt{a}, sqrt(1 - {a})), 0) AS INTEGER)"
 
 
-def _req_rows():
+def _req_rows(requests):
     rows = []
-    for r in REQUESTS:
+    for r in requests:
         lo, hi = dates.window_of(r.when, r.today)
         point = geo.known_origin(r.origin_city)
         limit = {"any": "NULL", "free": "0", "max_100": "100", "max_250": "250", "max_500": "500"}[r.price]
@@ -62,12 +62,15 @@ def norm_sql(c):
 
 
 VISIBLE_SQL = "NOT is_demo AND title <> '' AND greatest(start_d, coalesce(end_d, start_d)) >= DATE '1998-06-01' AND NOT (excludes_start AND end_d IS NULL)"
-SEARCH_SQL = f"""{GEO_SQL},
+def search_sql(requests, req=None):
+    """Matching listings of each request with their scores, as the CTE `ranked`; `req` is SQL for the rows of a request table."""
+    req = req or f"VALUES {_req_rows(requests)}"
+    return f"""{GEO_SQL},
 vis AS (SELECT *, {norm_sql('title')} AS nt, {norm_sql('venue')} AS nv, {norm_sql('city')} AS nc, {norm_sql("event_type || ' ' || category || ' ' || array_to_string(tags, ' ')")} AS nx, {norm_sql('description')} AS nd,
   {norm_sql("title || ' ' || event_type || ' ' || category || ' ' || venue || ' ' || city || '  ' || description || ' ' || array_to_string(tags, ' ')")} AS na,
   greatest(start_d, coalesce(end_d, start_d)) AS last_d, CASE WHEN price_status = 'known' AND currency = 'SEK' AND price_min >= 0 THEN price_min END AS sek
   FROM geo WHERE {VISIBLE_SQL}),
-req(request_id, has_origin, olat, olon, lo, hi, radius, price_limit, q, tf) AS (VALUES {_req_rows()}),
+req(request_id, has_origin, olat, olon, lo, hi, radius, price_limit, q, tf) AS ({req}),
 m AS (SELECT vis.*, req.*, {km_sql('CAST(olat AS DOUBLE)', 'CAST(olon AS DOUBLE)')} AS km, greatest(start_d, lo) AS a, least(last_d, hi) AS b, start_d - DATE '1998-06-01' AS days FROM vis, req),
 hit AS (SELECT * FROM m WHERE a <= b AND (b - a + 1) > (CASE WHEN excludes_start AND start_d BETWEEN a AND b THEN 1 ELSE 0 END)
   AND (tf IS NULL OR event_type = tf) AND (price_limit IS NULL OR price_status = 'free' OR (price_limit > 0 AND sek <= price_limit))
@@ -80,8 +83,29 @@ scored AS (SELECT *, CAST(CASE WHEN q = '' THEN 0 WHEN contains(nt, q) THEN 26 W
 ranked AS (SELECT *, CASE WHEN venue = '' AND city = '' THEN least(score0, 18) ELSE score0 END AS score FROM scored)"""
 
 
+SEARCH_SQL = search_sql(REQUESTS)
+
+
+def diversified_sql(k):
+    """The first k of `ranked` for each request, the first ten picked one by one among near ties, as the CTE `shown`."""
+    return f"""pool AS (SELECT *, lower(title) AS lt, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, start_date, lower(title), ingest_ord) AS rn, count(*) OVER (PARTITION BY request_id) AS n_all FROM ranked),
+step(request_id, n, chosen, kinds, venues, days) AS (
+  SELECT DISTINCT request_id, 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM pool WHERE n_all >= 3
+  UNION ALL
+  SELECT request_id, n + 1, list_append(chosen, rn), list_append(kinds, event_type), list_append(venues, venue), list_append(days, start_date) FROM (
+    SELECT *, score - least(6, 3 * len(list_filter(kinds[-3:], lambda x: x = event_type))) - least(4, 4 * len(list_filter(venues[-2:], lambda x: x = venue AND x <> ''))) - least(2, 2 * len(list_filter(days[-2:], lambda x: x = start_date))) AS worth
+    FROM (SELECT s.*, p.rn, p.score, p.event_type, p.venue, p.start_date, max(p.score) OVER (PARTITION BY s.request_id) AS best
+          FROM step s JOIN pool p ON p.request_id = s.request_id AND NOT list_contains(s.chosen, p.rn) WHERE s.n < 10) x
+    WHERE score >= best - 8) y
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY worth DESC, rn) = 1),
+picked AS (SELECT request_id, arg_max(chosen, n) AS chosen FROM step GROUP BY request_id),
+placed AS (SELECT p.*, CASE WHEN list_contains(c.chosen, p.rn) THEN list_position(c.chosen, p.rn) ELSE 100000 + p.rn END AS place FROM pool p LEFT JOIN picked c USING (request_id)),
+shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY place) AS INTEGER) AS position FROM placed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY place) <= {k})"""
+
+
+
 def _visible(spark, sf):
-    return ranking.visible(listings(spark, sf), TODAY)
+    return ranking.visible(listings(spark, sf, with_last=True), TODAY)
 
 
 @query("ranked_search", with_td(f"""{SEARCH_SQL}
@@ -97,7 +121,7 @@ def search_matches(spark, sf):
     return ranking.score_requests(_visible(spark, sf), REQUESTS).groupBy("request_id").agg(F.count("*").alias("hits"), F.sum("score").alias("score_sum"))
 
 
-@query("diversified_search")
+@query("diversified_search", with_td(f"{SEARCH_SQL}, {diversified_sql(ranking.PAGE)} SELECT request_id, id, score, position FROM shown").replace("WITH ", "WITH RECURSIVE ", 1))
 def diversified_search(spark, sf):
     out = ranking.diversify(ranking.score_requests(_visible(spark, sf), REQUESTS), ranking.PAGE)
     return out.select("request_id", "id", "score", "position")
@@ -129,12 +153,58 @@ def zero_hit_relaxation(spark, sf):
     return relaxation.choose(relaxation.scenario_hits(_visible(spark, sf), NO_HITS))
 
 
-@query("relaxed_suggestions")
+# A request that finds nothing, with a step of each kind that does.
+SUGGESTED = [
+    *NO_HITS,
+    SearchRequest("all_kinds", TODAY, NOW, "Oslo", "today", 25, "free"), SearchRequest("weekend_near", TODAY, NOW, "Karlskoga", "weekend", 25, "max_100"),
+    SearchRequest("title_today", TODAY, NOW, "Göteborg", "today", 25, "any", "gear"), SearchRequest("soon_far", TODAY, NOW, "Nora", "today", 50, "max_100"),
+    SearchRequest("typed_today", TODAY, NOW, "Malmö", "today", 25, "any", type_filter="5-LOW"),
+]
+_SCENARIOS = [s.request for r in SUGGESTED for s in relaxation.scenarios(r)]
+SUGGESTION_SQL = f"""{search_sql(_SCENARIOS)},
+counted AS (SELECT string_split(request_id, '|') AS parts, request_id AS scenario, count(*) AS hits FROM ranked GROUP BY request_id),
+kinds AS (SELECT parts[1] AS rid, parts[2] AS kind, CAST(parts[3] AS INTEGER) AS step, scenario FROM counted),
+live AS (SELECT * FROM kinds WHERE kind <> 'base' AND rid NOT IN (SELECT rid FROM kinds WHERE kind = 'base')),
+firsts AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY rid, kind ORDER BY step) = 1),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY CASE kind WHEN 'time' THEN 1 WHEN 'radius' THEN 2 WHEN 'price' THEN 3 WHEN 'new' THEN 4 ELSE 5 END) AS INTEGER) AS suggestion FROM firsts),
+offered AS (SELECT * FROM numbered WHERE CASE WHEN kind = 'time_radius' THEN suggestion = 1 ELSE suggestion <= 3 END),
+{diversified_sql(ranking.PAGE)},
+cards AS (SELECT rid, kind, step, suggestion, id, score, position, CASE WHEN city <> '' AND venue <> '' AND venue <> city THEN lower(title || '|' || city || '|' || venue) ELSE id END AS card FROM shown JOIN offered ON scenario = request_id),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY position) AS slot FROM (SELECT * FROM cards WHERE suggestion = 1 QUALIFY row_number() OVER (PARTITION BY rid, card ORDER BY position) = 1) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY position) <= 3),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY position) AS slot FROM (SELECT * FROM cards k WHERE suggestion = 2 AND NOT EXISTS (SELECT 1 FROM c1 WHERE c1.rid = k.rid AND c1.card = k.card) QUALIFY row_number() OVER (PARTITION BY rid, card ORDER BY position) = 1) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY position) <= 3),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY position) AS slot FROM (SELECT * FROM cards k WHERE suggestion = 3 AND NOT EXISTS (SELECT 1 FROM c1 WHERE c1.rid = k.rid AND c1.card = k.card) AND NOT EXISTS (SELECT 1 FROM c2 WHERE c2.rid = k.rid AND c2.card = k.card)
+  QUALIFY row_number() OVER (PARTITION BY rid, card ORDER BY position) = 1) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY position) <= 3)
+SELECT rid AS request_id, kind, step, suggestion, id, score, CAST(slot AS INTEGER) AS position FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)"""
+
+
+@query("relaxed_suggestions", with_td(SUGGESTION_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def relaxed_suggestions(spark, sf):
-    out = relaxation.suggest(_visible(spark, sf), NO_HITS)
+    out = relaxation.suggest(_visible(spark, sf), SUGGESTED)
     return out.select("request_id", "kind", "step", "suggestion", "id", "score", "position")
 
 
+_WHENS, _RADII, _PRICES = ["today", "weekend", "next_7_days", "next_30_days"], [25, 100, 300], ["any", "free", "max_250"]
+_WINDOWS = [dates.window_of(w, TODAY) for w in _WHENS]
+_CUSTOMER_SQL = f"""SELECT 'c' || c_custkey, c_nationkey < 20, clat, clon, [{', '.join(f"DATE '{lo}'" for lo, _ in _WINDOWS)}][c_custkey % 4 + 1], [{', '.join(f"DATE '{hi}'" for _, hi in _WINDOWS)}][c_custkey % 4 + 1],
+  {_RADII}[c_custkey % 3 + 1], CASE (c_custkey // 3) % 3 WHEN 1 THEN 0 WHEN 2 THEN 250 END, CASE WHEN c_custkey % 5 = 0 THEN 'gear' ELSE '' END, CASE WHEN c_custkey % 7 = 0 THEN '5-LOW' END
+  FROM customer LEFT JOIN coords ON c_nationkey < 20 AND name = ([{', '.join(f"'{c}'" for c in CITIES)}])[least(c_nationkey + 1, 20)]"""
+
+
+@query("request_table_search", with_td(f"{search_sql((), _CUSTOMER_SQL)} SELECT request_id, count(*) AS hits, max(score) AS best, CAST(sum(score) AS BIGINT) AS score_sum, CAST(sum(km) AS BIGINT) AS km_sum FROM ranked GROUP BY request_id"))
+def request_table_search(spark, sf):
+    """Every customer is a request, all of them in one join."""
+    from playbill.operators import request_join
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    requests = table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("request_id"), F.lit(TODAY).alias("today"), F.when(n < 20, pick(CITIES, F.least(n, F.lit(19)))).alias("origin_city"), pick(_WHENS, k % 4).alias("when"), pick(_RADII, k % 3).alias("radius_km"),
+        pick(_PRICES, F.floor(k / 3) % 3).alias("price"), F.when(k % 5 == 0, "Gear").otherwise("").alias("query"), F.when(k % 7 == 0, "5-LOW").alias("type_filter"), F.lit(False).alias("only_new"), F.array().cast("array<string>").alias("interests"),
+    )
+    found = request_join.scored(_visible(spark, sf), requests)
+    return found.groupBy("request_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.sum("score").alias("score_sum"), F.sum("distance_km").alias("km_sum"))
+
+
 @query("text_search", with_td(f"SELECT id FROM td WHERE contains({norm_sql('title')} || '|' || {norm_sql('city')}, 'orebro') OR contains({norm_sql('title')}, 'blue')"))
 def text_search(spark, sf):
     df = scoring.with_search_columns(listings(spark, sf))

@@ -98,22 +98,34 @@ def td(spark: SparkSession, sf_dir: str, items: bool = True) -> DataFrame:
     )
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
+SPANS = (7, 60)  # days: listings that run longer lie in files of their own
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the tables' files are now, so that changed input is stored anew."""
+    return tuple(f for name in ("orders", "lineitem", "customer") for f in sorted(table(spark, sf_dir, name).inputFiles()))
+
+
+def listings(spark: SparkSession, sf_dir: str, with_last: bool = False) -> DataFrame:
     """The stored form of `td`, written once per application as the import pipeline does.
 
-    Files are ranges of start dates, so horizon and period filters skip files by their
-    statistics; queries read only the columns they name.
+    Files are ranges of start dates, short listings apart from long ones, and hold the last day too:
+    a period prunes from both sides, by what starts after it and by what is over before it.
+    Queries read only the columns they name; `last_date` comes on request.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _WRITTEN:
         path = f"{checkpoint_dir(spark)}/playbill/listings-{uuid.uuid4().hex}"
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        td(spark, sf_dir).repartitionByRange(files, "start_date").sortWithinPartitions("start_date").write.parquet(path)
+        rows = td(spark, sf_dir)
+        last = F.greatest("start_date", F.coalesce("end_date", "start_date"))
+        days = F.datediff(F.try_to_date(last, "yyyy-MM-dd"), F.try_to_date("start_date", "yyyy-MM-dd"))
+        span = F.when(days <= SPANS[0], 0).when(days <= SPANS[1], 1).otherwise(2)
+        stored = rows.withColumns({"last_date": last, "_span": span}).repartitionByRange("_span", "start_date").sortWithinPartitions("_span", "start_date")
+        stored.drop("_span").write.parquet(path)
         _WRITTEN[key] = path
-    return spark.read.schema(listing_type()).parquet(_WRITTEN[key])
+    found = spark.read.schema(listing_type().add("last_date", "string")).parquet(_WRITTEN[key])
+    return found if with_last else found.drop("last_date")
 
 
 _CITY_LIST = ", ".join(f"'{c}'" for c in CITIES)
