@@ -90,41 +90,67 @@ def completeness(pages: DataFrame) -> DataFrame:
 
 # --- catalogue -------------------------------------------------------------------------
 
-PAGE_BITS, POS_BITS, SUB_BITS = 20, 16, 16
+SOURCE_BITS, PAGE_BITS, POS_BITS, SUB_BITS = 8, 26, 15, 14
 ROW_BITS = PAGE_BITS + POS_BITS + SUB_BITS
 
 
+def _fitting(value, bits: int):
+    """A whole number of so many bits, null being 0; another one is an error, never a second use."""
+    value = F.coalesce(value.cast("bigint"), F.lit(0))
+    return F.when(value.between(0, (1 << bits) - 1), value).otherwise(F.raise_error(F.lit("ordinal out of range")).cast("bigint"))
+
+
 def ordinal(page, pos, sub=None):
     """A row's ordinal within its source from page, position on it and occurrence.
 
     Distinct places give distinct ordinals in reading order; a place that does not fit is an error, never a second use.
     """
-    parts = [(page, PAGE_BITS), (pos, POS_BITS), (F.lit(0) if sub is None else sub, SUB_BITS)]
     out = F.lit(0).cast("bigint")
-    for part, bits in parts:
-        value = F.coalesce(part.cast("bigint"), F.lit(0))
-        fits = F.when(value.between(0, (1 << bits) - 1), value).otherwise(F.raise_error(F.lit("ordinal out of range")).cast("bigint"))
-        out = F.shiftleft(out, bits) + fits
+    for part, bits in ((page, PAGE_BITS), (pos, POS_BITS), (F.lit(0) if sub is None else sub, SUB_BITS)):
+        out = F.shiftleft(out, bits) + _fitting(part, bits)
     return out
 
 
+def source_ordinal(source_ord: Column, row_ord: Column) -> Column:
+    """Position in (source, row) order, built from the two ordinals, so nothing is sorted or numbered in one task."""
+    return F.shiftleft(_fitting(source_ord, SOURCE_BITS), ROW_BITS) + _fitting(row_ord, ROW_BITS)
+
+
+def placed(rows: DataFrame, source_ord: int, row_ord: str = "ingest_ord") -> DataFrame:
+    """The rows of one source with their place among all sources."""
+    return rows.withColumn("ingest_ord", source_ordinal(F.lit(source_ord), F.col(row_ord)))
+
+
 def page_ranks(raw_pages: DataFrame, *within: str) -> DataFrame:
-    """(within, url, fetched_at, page): landed pages numbered from 0 by address and time, narrow rows only."""
+    """(within, url, fetched_at, page): landed pages numbered from 0 by address and time, narrow rows only.
+
+    In two levels: ranges of addresses are counted, each range starts where those before it end, and
+    pages are numbered inside their range; so neither all pages nor a hot source meet in one task.
+    """
     from pyspark.sql import Window
 
+    from playbill.session import cut
+
     keys = [*within, "url", "fetched_at"]
-    return raw_pages.select(*keys).distinct().withColumn("page", F.row_number().over(Window.partitionBy(*within).orderBy("url", "fetched_at")) - 1)
+    ranges = cut(raw_pages.select(*keys).distinct().repartitionByRange("url", "fetched_at").withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_range").orderBy("url", "fetched_at")) - 1
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return ranges.withColumn("_i", inside).join(starts, same).select(*keys, (F.col("_start") + F.col("_i")).alias("page"))
 
 
 def assemble(*sources: DataFrame, order=("source_ord", "row_ord")) -> DataFrame:
     """Union of all sources, tagged with the common taxonomy.
 
-    `ingest_ord` is a position in (source, row) order.  It is built from the two ordinals
-    themselves, so no global sort or single numbering task is needed.
+    `ingest_ord` is a position in (source, row) order.
     """
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    source_ord, row_ord = (F.col(c).cast("bigint") for c in order)
-    return apply_taxonomy(as_listings(every.withColumn("ingest_ord", F.shiftleft(source_ord, ROW_BITS) + row_ord)))
+    source_ord, row_ord = (F.col(c) for c in order)
+    return apply_taxonomy(as_listings(every.withColumn("ingest_ord", source_ordinal(source_ord, row_ord))))
 
 
 def only_failing_over(primary: DataFrame, fallback: DataFrame, key: str = "source_key") -> DataFrame:

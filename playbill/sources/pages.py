@@ -117,7 +117,7 @@ _COLUMNS = ["url", "source_key", "source", "fetched_at", "block_no", "title", "t
 
 def extract(raw_pages: DataFrame, today: dt.date) -> DataFrame:
     """Dated listings from all landed list pages, by rule; undated blocks are dropped, nothing is invented."""
-    from playbill.sources.ingest import ROW_BITS, SUB_BITS, keep_first, ordinal, page_ranks
+    from playbill.sources.ingest import SUB_BITS, keep_first, ordinal, page_ranks, source_ordinal
 
     found = _from_blocks(raw_pages, today).select(*_COLUMNS)
     for part in (_from_lines, _fixtures, _whole_pages):
@@ -151,7 +151,7 @@ def extract(raw_pages: DataFrame, today: dt.date) -> DataFrame:
         F.when(F.col("end") != F.col("start"), F.col("end").cast("string")).alias("end_date"), F.col("clock").alias("start_time"), F.coalesce("place", "venue", "city").alias("venue"), F.col("found_city").alias("city"), "region", F.lit("Sverige").alias("country"),
         F.col("link").alias("official_url"), F.lit("confirmed").alias("status"), F.array("source").alias("source_names"), record.alias("source_records"), "tags", F.lit("partial").alias("data_quality"),
         F.when(F.col("free"), 0.0).otherwise(F.col("price.low")).alias("price_min"), F.when(F.col("free"), 0.0).otherwise(F.col("price.high")).alias("price_max"),
-        F.when(F.col("free"), "free").otherwise(F.col("price.status")).alias("price_status"), (F.shiftleft(source_ord, ROW_BITS) + ordinal(F.col("page"), F.floor(F.col("block_no") / (1 << SUB_BITS)), F.col("block_no") % (1 << SUB_BITS))).alias("ingest_ord"), F.lower("title").alias("_t"), "link",
+        F.when(F.col("free"), "free").otherwise(F.col("price.status")).alias("price_status"), source_ordinal(source_ord, ordinal(F.col("page"), F.floor(F.col("block_no") / (1 << SUB_BITS)), F.col("block_no") % (1 << SUB_BITS))).alias("ingest_ord"), F.lower("title").alias("_t"), "link",
     )
     # First block wins on (title, day, link), as a partial aggregate.
     return as_listings(keep_first(rows, ["_t", "start_date", "link"]))
