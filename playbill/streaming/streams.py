@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from playbill import vocab
 from playbill.functions.text import impression_key
 from playbill.schema import CLICKS, CONVERSIONS, ENGAGEMENT
-from playbill.streaming.state import merge_sightings, sightings, windowed_funnel
+from playbill.streaming.state import sightings, windowed_funnel
 
 LATE = "30 minutes"  # a click token is void after that long
 
@@ -56,18 +56,6 @@ def sightings_stream(rows: DataFrame) -> DataFrame:
     return sightings(rows)
 
 
-def sightings_sink(path: str):
-    """Merges every micro-batch into a versioned table: version n+1 is built from n and this batch."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        seen, spark = sightings(batch), batch.sparkSession
-        if batch_id > 0:
-            seen = merge_sightings(spark.read.parquet(f"{path}/version={batch_id - 1}"), seen)
-        seen.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return sink
-
-
 # --- clicks and conversions (T3, T4) -------------------------------------------------------
 
 def new_clicks(requests: DataFrame) -> DataFrame:
@@ -76,7 +64,7 @@ def new_clicks(requests: DataFrame) -> DataFrame:
     return requests.withColumn("click_id", F.coalesce("click_id", fresh))
 
 
-def _first(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+def first_of(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The earliest row of each key; of rows of one instant the one whose JSON text is smallest."""
     payload = F.struct(*[c for c in rows.columns if c not in keys])
     first = rows.groupBy(*keys).agg(F.min_by(payload, F.struct(F.col(at), F.to_json(payload))).alias("_r"))
@@ -87,7 +75,7 @@ def idempotent_clicks(clicks: DataFrame, streaming: bool = True) -> tuple[DataFr
     """(clicks with one row per id, rejected ids); in a batch the earliest row wins, in a stream a repeated id within the watermark is dropped."""
     good = F.coalesce(F.startswith("click_id", F.lit(vocab.CLICK_PREFIX)), F.lit(False))
     ok, bad = clicks.filter(good), clicks.filter(~good).withColumn("reason", F.lit("invalid_click_id"))
-    ok = ok.withWatermark("created_at", LATE).dropDuplicatesWithinWatermark(["click_id"]) if streaming else _first(ok, ["click_id"], "created_at")
+    ok = ok.withWatermark("created_at", LATE).dropDuplicatesWithinWatermark(["click_id"]) if streaming else first_of(ok, ["click_id"], "created_at")
     return ok, bad
 
 
@@ -107,7 +95,7 @@ def accept_conversions(conversions: DataFrame, clicks: DataFrame) -> tuple[DataF
     ok = F.coalesce(state_ok, F.lit(False)) & F.col("_known").isNotNull()
     reason = F.when(~F.coalesce(state_ok, F.lit(False)), "unsupported_status").otherwise("unknown_click")
     good, bad = joined.filter(ok).drop("_known"), joined.filter(~ok).withColumn("reason", reason).drop("_known")
-    once = _first(good.filter(F.col("partner_conversion_id").isNotNull()), ["click_id", "partner_conversion_id"], "recorded_at")
+    once = first_of(good.filter(F.col("partner_conversion_id").isNotNull()), ["click_id", "partner_conversion_id"], "recorded_at")
     return once.unionByName(good.filter(F.col("partner_conversion_id").isNull())), bad
 
 

@@ -5,12 +5,13 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from playbill.schema import CLICKS, CONVERSIONS, ENGAGEMENT
-from playbill.streaming import state, streams
+from playbill.streaming import keyed, state, streams
 
 T0 = dt.datetime(2026, 9, 10, 12)
 SECRET = "s" * 32
@@ -23,7 +24,9 @@ def at(minutes):
 def write(path, *batches):
     path.mkdir(parents=True, exist_ok=True)
     for i, batch in enumerate(batches):
-        (path / f"{i:03d}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        file = path / f"{i:03d}.json"
+        file.write_text("\n".join(json.dumps(r) for r in batch))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their times
     return str(path)
 
 
@@ -49,9 +52,9 @@ def test_sightings_merge_equals_one_batch(spark, tmp_path):
     path = write(tmp_path / "in", *rows)
     schema = "event_id string, seen_at timestamp"
     table = str(tmp_path / "seen")
-    streams.run(one_file_at_a_time(spark, path, schema), streams.sightings_sink(table), str(tmp_path / "chk")).awaitTermination()
+    streams.run(one_file_at_a_time(spark, path, schema), keyed.sightings_sink(table, 4), str(tmp_path / "chk")).awaitTermination()
     key = lambda df: sorted((r.event_id, r.first_seen_at, r.last_seen_at) for r in df.collect())
-    assert key(spark.read.parquet(f"{table}/version=2")) == key(state.sightings(spark.read.schema(schema).json(path)))
+    assert key(keyed.sighting_table(table, 4).read(spark)) == key(state.sightings(spark.read.schema(schema).json(path)))
 
 
 def test_clicks_are_idempotent(spark, tmp_path):
@@ -118,3 +121,53 @@ def test_impressions_and_windows(spark, tmp_path):
     assert {r[:4] for r in live} == {r for r in batch if r[0] < T0 + dt.timedelta(hours=4)}
     sessions = drain(streams.sessions_stream(one_file_at_a_time(spark, path, schema)), tmp_path, "sessions").collect()
     assert sorted((r.user_id, r.steps) for r in sessions) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_the_first_click_wins_for_ever(spark, tmp_path):
+    click = lambda i, m, e="e", **k: dict(click_id=i, created_at=at(m), event_id=e, partner_key="p", partner_name="P", destination_url="https://a.se", **k)
+    batches = [[click("upc_1", 50, "first"), click("bad", 0)], [click("upc_1", 1, "earlier, but later seen"), click("upc_2", 2), click("upc_2", 1, "earliest")], [click(f"upc_{i}", 90) for i in range(40)], [click("upc_1", 90_000, "weeks later")]]
+    path, root = write(tmp_path / "in", *batches), str(tmp_path / "table")
+    sink = keyed.clicks_sink(root, CLICKS, 8)
+    streams.run(one_file_at_a_time(spark, path, CLICKS), sink, str(tmp_path / "chk")).awaitTermination()
+    table = keyed.click_table(root, CLICKS, 8)
+    rows = {r.click_id: r.event_id for r in table.read(spark).collect()}
+    assert len(rows) == table.read(spark).count() == 40 and rows["upc_1"] == "first" and rows["upc_2"] == "earliest"
+    assert [r.reason for r in spark.read.json(f"{root}/clicks/quarantine/*").collect()] == ["invalid_click_id"]
+
+
+def test_replayed_and_failed_batches_change_nothing(spark, tmp_path):
+    schema = "id string, at int, v string"
+    table = keyed.KeyedTable(str(tmp_path / "t"), schema, ["id"], keep_known := keyed.keep_known(["id"], "at"), 4)
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    assert keep_known and table.apply(rows(("a", 2, "x"), ("b", 1, "y"), ("a", 1, "w")), 0)
+    # A batch that was written but not entered is as good as not there, and is written anew.
+    rows(("zz", 0, "left behind")).write.parquet(str(tmp_path / "t" / "batch-1" / "bucket=0"))
+    before = {tuple(r) for r in table.read(spark).collect()}
+    assert before == {("a", 1, "w"), ("b", 1, "y")}
+    assert table.apply(rows(("c", 1, "z"), ("a", 0, "too late")), 1) and not table.apply(rows(("c", 0, "again"), ("d", 1, "new")), 1)
+    assert {tuple(r) for r in table.read(spark).collect()} == before | {("c", 1, "z")}
+    assert table.apply(rows(), 2) and not table.apply(rows(("q", 1, "q")), 2) and table.read(spark).count() == 3
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = keyed.sighting_table(str(tmp_path), 16)
+    first = spark.range(500).selectExpr("cast(id AS string) AS event_id", "timestamp'2026-01-01' AS first_seen_at", "timestamp'2026-01-01' AS last_seen_at")
+    table.apply(first, 0)
+    table.apply(first.filter("event_id = '7'").withColumn("last_seen_at", F.expr("timestamp'2026-02-01'")), 1)
+    assert len(list((tmp_path / "sightings" / "batch-1").glob("bucket=*"))) == 1 and len(list((tmp_path / "sightings" / "batch-0").glob("bucket=*"))) == 16
+    got = {r.event_id: str(r.last_seen_at)[:10] for r in table.read(spark).collect()}
+    assert len(got) == 500 and got["7"] == "2026-02-01" and got["8"] == "2026-01-01"
+    assert 0 < table.around(first.filter("event_id = '7'")).count() < 100
+
+
+def test_conversions_keep_rejects_and_partner_ids(spark, tmp_path):
+    conv = lambda click, pid, status="confirmed", m=0: dict(recorded_at=at(m), click_id=click, partner_conversion_id=pid, status=status, commission_value=10.0)
+    path = write(tmp_path / "in", [conv("c1", "x"), conv("c1", None), conv("nope", "y")], [conv("c1", "x", "pending", 9_000), conv("c1", None, m=1), conv("c2", "z", "weird"), conv("c2", "x")])
+    clicks = keyed.click_table(str(tmp_path / "t"), CLICKS, 4)
+    clicks.apply(spark.createDataFrame([(c, T0) for c in ("c1", "c2")], "click_id string, created_at timestamp").select(*[F.col(n) if n in ("click_id", "created_at") else F.lit(None).cast("string").alias(n) for n in [c.split()[0] for c in CLICKS.split(", ")]]), 0)
+    root = str(tmp_path / "t")
+    sink = keyed.conversions_sink(root, CONVERSIONS, clicks, 4)
+    streams.run(one_file_at_a_time(spark, path, CONVERSIONS), sink, str(tmp_path / "chk")).awaitTermination()
+    rows = keyed.conversions(spark, root, CONVERSIONS, 4).collect()
+    assert sorted((r.click_id, r.partner_conversion_id or "", r.status) for r in rows) == [("c1", "", "confirmed"), ("c1", "", "confirmed"), ("c1", "x", "confirmed"), ("c2", "x", "confirmed")]
+    assert sorted(r.reason for r in spark.read.json(f"{root}/conversions/quarantine/*").collect()) == ["unknown_click", "unsupported_status"]
