@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,29 +15,49 @@ from playbill.functions.text import codes, col, contains_any, dedupe_text, recal
 _NO_TAGS = "array<string>"
 
 
-def _rx(patterns) -> str:
-    """One alternation; Unicode-aware classes and case folding."""
-    return "(?iuU)" + "|".join(f"(?:{p})" for p in patterns)
+# --- tag rules: words are looked up, only phrases and stems need a pattern ----------
+
+_WORD_RULE = re.compile(r"\\b(\w+)\\b")  # a rule that is one whole word
+_NOT_PLAIN = re.compile(r"\[[^\]]*\]\??|\(\?:[^)]*\)\??|\w\?|\\\w")
+
+
+class TagRules(NamedTuple):
+    """Rules by how they are tested: whole words with their tags, and patterns with a text that every match holds."""
+
+    words: dict[str, tuple[str, ...]]
+    patterns: list[tuple[str, str, tuple[str, ...]]]
 
 
-def _lower_rx(patterns) -> str:
-    """For text that is lower case already: one leading boundary, shared by all patterns that start with one."""
-    bare = [p.removeprefix(r"\b") for p in patterns]
-    return r"(?U)\b(?:" + "|".join(bare) + ")"
+def tag_rules(rules: dict[str, list[str]], sports: dict[str, list[str]]) -> TagRules:
+    """Sorts the rules of all families; a rule of a single sport also gives 'Sport'."""
+    words, patterns = defaultdict(list), defaultdict(list)
+    for tag, pattern in [(t, p) for t, ps in rules.items() for p in ps] + [(t, p) for t, ps in sports.items() for p in ps]:
+        tags = [tag, "Sport"] if tag in sports and pattern in sports[tag] else [tag]
+        word = _WORD_RULE.fullmatch(pattern)
+        (words[word[1]] if word else patterns[pattern]).extend(tags)
+    plain = lambda p: max(_NOT_PLAIN.split(p), key=len)
+    return TagRules({w: tuple(dict.fromkeys(t)) for w, t in words.items()}, [(plain(p), p, tuple(dict.fromkeys(t))) for p, t in patterns.items()])
+
+
+TAGS = tag_rules(vocab.TAG_RULES, vocab.SPORT_TAG_RULES)
 
 
 def taxonomy_text(title, description) -> Column:
     return F.lower(F.concat_ws(" ", txt(title), txt(description)))
 
 
-def tags_of(text: Column) -> Column:
-    """Sorted tags whose rules occur in the text; every single sport also means 'Sport'."""
-    every = {**vocab.TAG_RULES, **{f"sport:{k}": v for k, v in vocab.SPORT_TAG_RULES.items()}}
-    rules = [(text.rlike(_lower_rx(p)), tag.removeprefix("sport:")) for tag, p in every.items()]
-    any_sport = text.rlike(_lower_rx([p for ps in vocab.SPORT_TAG_RULES.values() for p in ps]))
-    found = F.sort_array(F.array_distinct(codes(*rules, (any_sport, "Sport"))))
-    # Most texts match nothing: one pass over all rules settles those.
-    return F.when(text.rlike(_lower_rx([p for ps in every.values() for p in ps])), found).otherwise(F.array().cast(_NO_TAGS))
+def tags_of(text: Column, rules: TagRules = TAGS) -> Column:
+    """Sorted tags whose rules occur in a lower-case text.
+
+    The text is cut into words once.  The words that are rules come out of one set intersection,
+    and only they are looked up.  A pattern is tried where the text holds its longest plain part.
+    """
+    listed = lambda tags: F.array(*[F.lit(t) for t in tags])
+    known = F.array_intersect(F.split(text, r"(?U)\W+"), listed(rules.words))
+    table = F.create_map(*[x for w, tags in rules.words.items() for x in (F.lit(w), listed(tags))])
+    by_word = F.flatten(F.transform(known, lambda w: F.element_at(table, w)))
+    by_pattern = [F.when(F.contains(text, F.lit(plain)) & text.rlike("(?U)" + pattern), listed(tags)) for plain, pattern, tags in rules.patterns]
+    return F.sort_array(F.array_distinct(F.flatten(F.array_compact(F.array(by_word, *by_pattern)))))
 
 
 def classify(df, title="title", description="description", event_type="event_type", category="category"):
@@ -183,3 +207,20 @@ def guess_calendar_type(prefix, title) -> Column:
          ("Aktivitet", ["delta själv", "workshop", "prova på"])],
         "Evenemang",
     )
+
+
+def classify_tile(df, title="title", venue="venue"):
+    """Adds `tile_type` and `tile_category` of ticket-shop tiles.
+
+    The taxonomy of title and venue decides; where it leaves the generic local bucket, plain wording
+    and strong venue words do, in fixed order.
+    """
+    generic = df.withColumns({"_type": F.lit("Evenemang"), "_category": F.lit(vocab.TILE_BUCKET)})
+    judged = classify(generic, title, venue, "_type", "_category")
+    text = F.lower(F.concat_ws(" ", txt(title), txt(venue)))
+    kind, category = F.col("new_type"), F.col("new_category")
+    open_ = (kind == "Evenemang") & (category == vocab.TILE_BUCKET)
+    for words, tile_type, tile_category in reversed(vocab.TILE_WORDS):
+        hit = open_ & contains_any(text, words)
+        kind, category = F.when(hit, tile_type).otherwise(kind), F.when(hit, tile_category).otherwise(category)
+    return judged.withColumns({"tile_type": kind, "tile_category": category}).drop("_type", "_category", "new_type", "new_category", "new_tags")

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from playbill import vocab
 from playbill.functions import booking, classify, quality, scoring
 from playbill.functions.text import clean_names, search_text_py, words
-from playbill.operators import booking_reports, catalogue
+from playbill.operators import booking_reports, catalogue, summaries
 from playbill.plans.registry import query
 from playbill.plans.td import TODAY, table, with_td, listings
+from playbill.session import cut
 
 _UP = "start_d BETWEEN DATE '1998-06-01' AND DATE '1998-07-01' AND NOT is_demo"
 _LOCAL = [f"Supplier#{i:09d}" for i in range(0, 40, 3)]
 _LOCAL_SQL = ", ".join(f"'{s}'" for s in _LOCAL)
-_GEO_CITIES = "('Örebro','Stockholm','Göteborg','Malmö','Jönköping','Uppsala','Västerås','Linköping','Norrköping','Karlstad','Eskilstuna','Karlskoga','Kumla','Lindesberg','Nora','Hallsberg','Arboga','Köping','Oslo','Köpenhamn')"
-_HAS = """
+_LISTED = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_GEO_CITIES = _LISTED(vocab.CITY_COORDS)
+_HAS = f"""
   start_min IS NOT NULL AS h_start, end_min IS NOT NULL AS h_end, start_min IS NOT NULL AND end_min IS NOT NULL AS h_range,
   trim(venue) <> '' AS h_venue,
-  lower(trim(venue)) NOT IN ('', 'örebro', 'orebro', 'örebro län', 'orebro lan', 'conventum', 'online', 'digitalt', 'digital', 'se arrangörens sida', 'plats ej angiven')
+  lower(trim(venue)) NOT IN {_LISTED(vocab.GENERIC_VENUES)}
     AND (lower(trim(city)) = '' OR lower(trim(venue)) <> lower(trim(city))) AS h_pvenue,
   price_status IN ('known', 'free') AS h_price, age_limit IS NOT NULL AS h_age, door_min IS NOT NULL AS h_door,
   coalesce(booking_url, ticket_url) IS NOT NULL AS h_book"""
@@ -51,6 +54,17 @@ def source_value(spark, sf):
     return catalogue.source_value(listings(spark, sf), TODAY).withColumn("unique_share_percent", F.round("unique_share_percent", 6))
 
 
+@query("source_value_horizons", with_td("""x AS (SELECT unnest(source_names) AS s, len(source_names) AS n, start_d FROM td WHERE NOT is_demo),
+h AS (SELECT unnest([7, 30, 90]) AS horizon)
+SELECT horizon, s AS source, count(*) AS represented, count(*) FILTER (n = 1) AS unique_listings, count(*) FILTER (n > 1) AS overlap_listings
+FROM x, h WHERE start_d BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + CAST(horizon AS INTEGER) GROUP BY ALL"""))
+def source_value_horizons(spark, sf):
+    """Three horizons from one table of day summaries."""
+    days = cut(summaries.source_days(listings(spark, sf)))
+    parts = [summaries.source_value(days, TODAY, h).select(F.lit(h).alias("horizon"), "source", "represented", F.col("unique").alias("unique_listings"), F.col("overlap").alias("overlap_listings")) for h in (7, 30, 90)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("source_value_totals", with_td(f"""
 SELECT count(*) AS listings, count(*) FILTER (source_count = 1) AS sole_source, count(*) FILTER (source_count > 1) AS multi_source
 FROM td WHERE {_UP} AND source_count > 0"""))
@@ -334,14 +348,34 @@ def _tag_sql(tag: str, patterns: list[str]) -> str:
 _EVERY_TAG = vocab.TAG_RULES | vocab.SPORT_TAG_RULES | {"Sport": [*vocab.TAG_RULES["Sport"], *(p for ps in vocab.SPORT_TAG_RULES.values() for p in ps)]}
 
 
+# A wording of every family, and of rules that are more than one word, put behind a document's text by its id.
+_WORDINGS = [next(p for p in ps if p.strip("\\b").isalpha()).replace("\\b", "") for ps in _EVERY_TAG.values()] + [
+    "stand-up", "trading cards", "hållbarhet", "klossfestivalen", "leksaksmässa", "pokémon", "yu-gi-oh", "90-tal", "he man", "skridskoåkning", "e-sport", "table tennis", "ingen regel", "showen",
+]
+
+
 @query("classify_tags", f"""SELECT tag, count(*) AS documents FROM (
   SELECT unnest(list_filter([{', '.join(_tag_sql(*rule) for rule in _EVERY_TAG.items())}], lambda x: x IS NOT NULL)) AS tag
-  FROM (SELECT lower(text) AS t FROM documents)) GROUP BY tag""")
+  FROM (SELECT lower(text || ' ' || [{', '.join(f"'{w}'" for w in _WORDINGS)}][doc_id % {len(_WORDINGS)} + 1]) AS t FROM documents)) GROUP BY tag""")
 def classify_tags(spark, sf):
-    tags = classify.tags_of(classify.taxonomy_text(F.lit(""), "text"))
+    wording = F.element_at(F.array(*[F.lit(w) for w in _WORDINGS]), (F.col("doc_id") % len(_WORDINGS) + 1).cast("int"))
+    tags = classify.tags_of(classify.taxonomy_text(F.lit(""), F.concat_ws(" ", "text", wording)))
     return table(spark, sf, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("documents"))
 
 
+_TILE_NAMES = ["Vinprovning i källaren", "Dansband på Ritz", "Late night jam", "Dockteater", "Rockbar live", "Konsert i parken", "DJ Anna", "Helt annat", "Jazzkväll"]
+
+
+@query("ticket_tiles", with_td(f"""x AS (SELECT id, [{', '.join(f"'{t}'" for t in _TILE_NAMES)}][CAST(id AS BIGINT) % {len(_TILE_NAMES)} + 1] AS title, lower([{', '.join(f"'{t}'" for t in _TILE_NAMES)}][CAST(id AS BIGINT) % {len(_TILE_NAMES)} + 1] || ' ' || venue) AS t FROM td)
+SELECT id, CASE WHEN regexp_matches(t, '\\bkonsert\\b') THEN 'Konsert' WHEN contains(t, 'vinprovning') THEN 'Mat & dryck' WHEN contains(t, 'ritz') OR contains(t, 'dj ') OR contains(t, 'dansband') THEN 'Nattliv'
+  WHEN contains(t, 'rockbar') OR contains(t, 'jazz') OR contains(t, 'konsert') OR contains(t, 'live') OR contains(t, ' late night jam') OR contains(t, 'jam ') THEN 'Konsert' WHEN contains(t, 'dockteater') THEN 'Teater' ELSE 'Evenemang' END AS tile_type,
+  CASE WHEN regexp_matches(t, '\\bkonsert\\b') THEN 'Lokalt' WHEN contains(t, 'vinprovning') THEN 'Mat & dryck' WHEN contains(t, 'ritz') OR contains(t, 'dj ') OR contains(t, 'dansband') THEN 'Nattliv'
+  WHEN contains(t, 'rockbar') OR contains(t, 'jazz') OR contains(t, 'konsert') OR contains(t, 'live') OR contains(t, ' late night jam') OR contains(t, 'jam ') THEN 'Musik' WHEN contains(t, 'dockteater') THEN 'Teater' ELSE 'Lokalt' END AS tile_category FROM x"""))
+def ticket_tiles(spark, sf):
+    name = F.element_at(F.array(*[F.lit(t) for t in _TILE_NAMES]), (F.col("ingest_ord") % len(_TILE_NAMES) + 1).cast("int"))
+    return classify.classify_tile(listings(spark, sf).withColumn("title", name)).select("id", "tile_type", "tile_category")
+
+
 _SPORT_WORDS = "CASE k7 WHEN 0 THEN 'fotboll derby' WHEN 1 THEN 'badminton open' WHEN 2 THEN 'konsert' WHEN 3 THEN 'golf och hockey' ELSE title END"
 
 
