@@ -56,10 +56,10 @@ def test_the_plan_does_not_grow_with_the_requests(spark):
             "'any' AS price", "'' AS query", "cast(null AS string) AS type_filter", "false AS only_new", "cast(array() AS array<string>) AS interests",
         )
         out = request_join.scored(df, asked)
-        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        plans.append(out._jdf.queryExecution().analyzed().toString().count("\n"))
         if n == 10_000:
-            assert out.select("request_id").distinct().count() in (0, 3333, 3334, 6667, 6666, 10_000)
-    assert abs(plans[0] - plans[1]) < 200
+            assert out.groupBy("request_id").count().count() <= n
+    assert plans[0] == plans[1]
 
 
 def test_relaxation_by_table_equals_relaxation_by_constants(spark):
