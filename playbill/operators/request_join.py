@@ -29,6 +29,8 @@ CLASSES = 14
 OPEN_END = 400  # a request for more days than this asks all listings of its cells
 CELL_LAT, CELL_LON = 2.0, 4.0
 KM_PER_DEGREE = 111.0
+CELLS = 64  # a circle that touches more cells than this asks "*" and leaves the rest to the exact test
+SHARES = 16  # tasks among which the listings under an open key are dealt
 
 
 def request_table(spark: SparkSession, requests: list[SearchRequest]) -> DataFrame:
@@ -60,37 +62,54 @@ def _key(kind: Column, number: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), number.cast("string"))
 
 
-def listing_keys(prepared: DataFrame) -> DataFrame:
-    """Prepared listings with one row for each (period, cell) they stand under: their own and the open ones."""
+def _kind() -> Column:
+    """The class of a prepared listing by its length; `CLASSES` for those above all classes."""
     span = F.datediff("_d1", "_d0")
     kind = F.least(F.greatest(F.ceil(F.log2(F.greatest(span, F.lit(1)) / DAYS)), F.lit(0)), F.lit(CLASSES - 1)).cast("int")
-    own = F.when(span > DAYS * 2 ** (CLASSES - 1), F.lit("long")).otherwise(_key(kind, _bucket(F.col("_d0"), F.lit(DAYS) * F.call_function("shiftleft", F.lit(1), kind))))
+    return F.when(span > DAYS * 2 ** (CLASSES - 1), CLASSES).otherwise(kind)
+
+
+def listing_keys(prepared: DataFrame) -> DataFrame:
+    """Prepared listings with one row for each (period, cell, share) they stand under: their own and the open ones."""
+    kind = _kind()
+    own = F.when(kind == CLASSES, F.lit("long")).otherwise(_key(kind, _bucket(F.col("_d0"), F.lit(DAYS) * F.call_function("shiftleft", F.lit(1), kind))))
     cell = _key(F.floor((F.col("loc.lat") + 90) / CELL_LAT), F.pmod(F.floor((F.col("loc.lon") + 180) / CELL_LON), F.lit(int(360 / CELL_LON))))
     periods, cells = F.array(own, F.lit("*")), F.array_compact(F.array(cell, F.lit("*")))
-    return prepared.filter(F.col("_d0").isNotNull()).withColumn("_period", F.explode(periods)).withColumn("_cell", F.explode(cells))
+    out = prepared.filter(F.col("_d0").isNotNull()).withColumn("_period", F.explode(periods)).withColumn("_cell", F.explode(cells))
+    return out.withColumn("_share", F.when(_open(), F.pmod(F.xxhash64("id", "ingest_ord"), F.lit(SHARES)).cast("int")).otherwise(0))
+
+
+def _open() -> Column:
+    return (F.col("_period") == "*") | (F.col("_cell") == "*")
 
 
-def request_keys(resolved: DataFrame) -> DataFrame:
-    """Requests with one row for each (period, cell) that they ask."""
+def request_keys(resolved: DataFrame, kinds=range(CLASSES + 1)) -> DataFrame:
+    """Requests with one row for each (period, cell, share) that they ask; `kinds` are the classes that listings have."""
     def buckets(kind: int) -> Column:
+        if kind == CLASSES:
+            return F.array(F.lit("long"))
         size = F.lit(DAYS * 2**kind)
         # A listing of this class may have begun a bucket's length before.
         first = _bucket(F.date_sub("lo", DAYS * 2**kind), size)
         return F.transform(F.sequence(first, _bucket(F.least("hi", F.date_add("lo", OPEN_END)), size)), lambda n: _key(F.lit(kind), n))
 
     closed = F.datediff("hi", "lo") <= OPEN_END
-    periods = F.when(closed, F.concat(*[buckets(k) for k in range(CLASSES)], F.array(F.lit("long")))).otherwise(F.array(F.lit("*")))
+    none = F.array().cast("array<string>")
+    periods = F.when(closed, F.concat(none, *[buckets(k) for k in sorted(kinds)])).otherwise(F.array(F.lit("*")))
     high = (F.col("radius_km") + 1) / KM_PER_DEGREE
     widest = F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("olat")) + high)))
     wide = F.least(F.lit(180.0), high / widest)
     row = lambda lat: F.floor((lat + 90) / CELL_LAT)
     column = lambda lon: F.floor((lon + 180) / CELL_LON)
-    columns = F.array_distinct(F.transform(F.sequence(column(F.col("olon") - wide), column(F.col("olon") + wide)), lambda n: F.pmod(n, F.lit(int(360 / CELL_LON)))))
-    around = F.flatten(F.transform(F.sequence(row(F.col("olat") - high), row(F.col("olat") + high)), lambda a: F.transform(columns, lambda b: _key(a, b))))
+    south, north, west, east = row(F.col("olat") - high), row(F.col("olat") + high), column(F.col("olon") - wide), column(F.col("olon") + wide)
+    columns = F.array_distinct(F.transform(F.sequence(west, east), lambda n: F.pmod(n, F.lit(int(360 / CELL_LON)))))
+    around = F.flatten(F.transform(F.sequence(south, north), lambda a: F.transform(columns, lambda b: _key(a, b))))
     local = F.col("has_origin") & F.col("radius_km").isNotNull()
     # A circle around an unknown place holds nothing.
-    cells = F.when(~local, F.array(F.lit("*"))).when(F.col("olat").isNotNull(), around).otherwise(F.array().cast("array<string>"))
-    return resolved.withColumn("_period", F.explode(periods)).withColumn("_cell", F.explode(cells))
+    many = (north - south + 1) * (east - west + 1) > CELLS
+    cells = F.when(~local | (F.col("olat").isNotNull() & many), F.array(F.lit("*"))).when(F.col("olat").isNotNull(), around).otherwise(none)
+    out = resolved.withColumn("_period", F.explode(periods)).withColumn("_cell", F.explode(cells))
+    return out.withColumn("_share", F.explode(F.when(_open(), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))))
 
 
 def _matches() -> Column:
@@ -118,7 +137,9 @@ def pairs(listings: DataFrame, requests: DataFrame) -> DataFrame:
     prepared = ranking.with_location(scoring.with_request_columns(soon, bounds[2]))
     if "is_new" not in prepared.columns:
         prepared = prepared.withColumn("is_new", F.lit(False))
-    met = listing_keys(prepared).join(request_keys(resolved), ["_period", "_cell"])
+    kinds = [r.kind for r in prepared.select(_kind().alias("kind")).filter(F.col("kind").isNotNull()).distinct().collect()]  # CLASSES + 1 numbers at most
+    # The keys are many times the requests, which the size that Spark expects does not show: never sent through the driver.
+    met = listing_keys(prepared).join(request_keys(resolved, kinds).hint("merge"), ["_period", "_cell", "_share"]).drop("_share")
     km = F.when(F.col("has_origin"), F.bround(geo.haversine_km(F.col("olat"), F.col("olon"), F.col("loc.lat"), F.col("loc.lon"))).cast("int"))
     return met.withColumn("distance_km", km).filter(_matches())
 
