@@ -62,7 +62,8 @@ def scenario_hits(listings: DataFrame, requests: list[SearchRequest]) -> DataFra
 def choose(hits: DataFrame) -> DataFrame:
     """First step with hits per kind, for requests without base hits; the combined kind only as a last resort."""
     by_request = Window.partitionBy("request_id")
-    base = F.max(F.when(F.col("kind") == "base", F.col("hits"))).over(by_request)
+    # Scenarios without hits may be left out, the base too.
+    base = F.coalesce(F.max(F.when(F.col("kind") == "base", F.col("hits"))).over(by_request), F.lit(0))
     live = hits.withColumn("_base", base).filter((F.col("_base") == 0) & (F.col("kind") != "base") & (F.col("hits") > 0))
     first = live.withColumn("_n", F.row_number().over(Window.partitionBy("request_id", "kind").orderBy("step"))).filter(F.col("_n") == 1)
     order = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])[F.col("kind")]
