@@ -138,3 +138,9 @@ def test_listing_schema_is_kept(spark):
     df = listings(spark, random_rows(7, 10))
     out = dedupe.merge(df, dedupe.assign(df))
     assert out.drop("members").schema.simpleString() == listing_type().simpleString()
+
+
+def test_provenance_sends_no_records_through_the_driver(spark):
+    df = listings(spark, random_rows(7, 20))
+    assigned = dedupe.assign(df)
+    assert "BroadcastHashJoin" not in dedupe.provenance(df, assigned)._jdf.queryExecution().executedPlan().toString()
