@@ -140,6 +140,42 @@ def test_listing_schema_is_kept(spark):
     assert out.drop("members").schema.simpleString() == listing_type().simpleString()
 
 
+def scan(rows):
+    """Every row against every kept row, in order."""
+    kept, out = [], []
+    for row in rows:
+        ids = set(row["ids"])
+        found = [(dedupe.pair_score(k, row, bool(ids & k["ids"])), -no) for no, k in enumerate(kept)]
+        score, no = max(found, default=(0.0, 0))
+        best = kept[-no] if score >= dedupe.vocab.REVIEW_SCORE else None
+        merged = best is not None and score >= dedupe.vocab.MERGE_SCORE
+        out.append((row["ord"], best["ord"] if merged else row["ord"], best and best["ord"], score if best else 0.0))
+        if merged:
+            dedupe.absorb(best, row)
+            best["ids"] |= ids
+        else:
+            kept.append({**row, "ids": ids})
+    return out
+
+
+def test_indexed_loop_equals_a_scan_of_all_kept_rows(spark):
+    for seed in (3, 4, 5):
+        rows = [r.asDict() for r in dedupe.match_columns(listings(spark, random_rows(seed, 150))).orderBy("ord").collect()]
+        rows = [r for r in rows if r["d"] == "2026-09-10"]
+        assert dedupe.greedy([dict(r) for r in rows]) == scan([dict(r) for r in rows])
+
+
+def test_a_long_day_of_few_comparisons_is_no_large_block(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "_large", lambda rows: 1 / 0)
+    rows = random_rows(6, 80)
+    for i, row in enumerate(rows):
+        row.update(city=f"Stad {i % 20}" if i else "", start_date="2026-09-10")
+    df = listings(spark, rows)
+    got = {r.ord: (r.leader, r.best, round(r.score, 9)) for r in dedupe.assign(df, 40).collect()}
+    want = scan([r.asDict() for r in dedupe.match_columns(df).orderBy("ord").collect()])
+    assert got == {o: (leader, best, round(score, 9)) for o, leader, best, score in want}
+
+
 def test_provenance_sends_no_records_through_the_driver(spark):
     df = listings(spark, random_rows(7, 20))
     assigned = dedupe.assign(df)
