@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,11 @@ from playbill.functions.text import ratio, recall_title, txt
 from playbill.session import cut
 
 
-def candidates(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL_TITLE_FLOOR) -> DataFrame:
-    """(ref_ord, listing_ord, score) of pairs on the same day and in the same city.
+LOOP_ROWS = 200_000  # references and listings of a day and city that one task takes in order
+
+
+def _scored_titles(refs: DataFrame, listings: DataFrame, floor: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, listings and (d, c, rt, lt, score) of their titles on the same day and in the same city.
 
     Scored on distinct titles per side, and at most as many listings per (day, city,
     title) as the day and city have references: further copies can never be used up.
@@ -35,17 +40,78 @@ def candidates(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL
     undecided = (F.col("bound") > F.col("plain")) & (F.col("bound") >= floor)
     settled = bounded.filter(~undecided & (F.col("plain") >= floor)).withColumn("score", F.col("plain"))
     open_ = bounded.filter(undecided).withColumn("score", F.greatest("plain", seq_ratio(a, b))).filter(F.col("score") >= floor)
-    scored = settled.unionByName(open_).select("d", "c", "rt", "lt", "score")
+    return r, rows, settled.unionByName(open_).select("d", "c", "rt", "lt", "score")
+
+
+def _pairs(r: DataFrame, rows: DataFrame, scored: DataFrame) -> DataFrame:
     return scored.join(r, ["d", "c", "rt"]).join(rows, ["d", "c", "lt"]).select("ref_ord", "listing_ord", "score")
 
 
-def match(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL_TITLE_FLOOR) -> DataFrame:
-    """(ref_ord, listing_ord, score): each reference in order takes its best unused listing.
+def candidates(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL_TITLE_FLOOR) -> DataFrame:
+    """(ref_ord, listing_ord, score) of pairs on the same day and in the same city."""
+    return _pairs(*_scored_titles(refs, listings, floor))
 
-    All listings prefer the earlier reference, so proposing in rounds, with every
+
+def in_order(options: list[tuple], stock: dict[str, list[int]], refs: list[tuple]) -> list[tuple]:
+    """(ref_ord, listing_ord, score) of a day and city: (ref_ord, title) in order each take their best unused listing.
+
+    Of a title only the first unused listing can be the best, so titles are compared, not listings.
+    """
+    by_title, used, out = defaultdict(list), defaultdict(int), []
+    for rt, lt, score in options:
+        if lt in stock:
+            by_title[rt].append((score, lt))
+    for ref_ord, rt in refs:
+        best = max(((score, -stock[lt][used[lt]], lt) for score, lt in by_title.get(rt, ()) if used[lt] < len(stock[lt])), default=None)
+        if best is not None:
+            used[best[2]] += 1
+            out.append((ref_ord, -best[1], best[0]))
+    return out
+
+
+def _loops(r: DataFrame, rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """Days with their cities one after the other within sorted partitions; one is in memory at a time."""
+    import pyarrow as pa
+
+    schema = pa.schema([("ref_ord", pa.int64()), ("listing_ord", pa.int64()), ("score", pa.float64())])
+    none = lambda kind: F.lit(None).cast(kind)
+    block = F.concat_ws("\u0001", "d", "c").alias("block")
+    parts = [
+        scored.select(block, F.lit(0).alias("kind"), none("bigint").alias("ord"), "rt", "lt", "score"),
+        rows.select(block, F.lit(1).alias("kind"), F.col("listing_ord").alias("ord"), none("string").alias("rt"), "lt", none("double").alias("score")).distinct(),
+        r.select(block, F.lit(2).alias("kind"), F.col("ref_ord").alias("ord"), "rt", none("string").alias("lt"), none("double").alias("score")).distinct(),
+    ]
+
+    def run(batches):
+        def settled(held):
+            options, stock, refs = held
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in in_order(options, stock, refs)], schema)
+
+        now, held = None, None
+        for batch in batches:
+            for block, kind, no, rt, lt, score in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    if held:
+                        yield settled(held)
+                    now, held = block, ([], {}, [])
+                if kind == 0:
+                    held[0].append((rt, lt, score))
+                elif kind == 1:
+                    held[1].setdefault(lt, []).append(no)
+                else:
+                    held[2].append((no, rt))
+        if held:
+            yield settled(held)
+
+    stream = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stream.repartition("block").sortWithinPartitions("block", "kind", "ord").mapInArrow(run, "ref_ord bigint, listing_ord bigint, score double")
+
+
+def _rounds(options: DataFrame) -> DataFrame:
+    """All listings prefer the earlier reference, so proposing in rounds, with every
     listing keeping the earliest proposer, ends in exactly that assignment.
     """
-    options = cut(candidates(refs, listings, floor))
+    options = cut(options)
     while True:
         w = Window.partitionBy("ref_ord").orderBy(F.col("score").desc(), "listing_ord")
         proposals = options.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
@@ -57,6 +123,28 @@ def match(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL_TITL
         options = cut(options.join(refused, ["ref_ord", "listing_ord"], "left_anti"))
 
 
+def match(refs: DataFrame, listings: DataFrame, floor: float = vocab.RECALL_TITLE_FLOOR, loop_rows: int = LOOP_ROWS) -> DataFrame:
+    """(ref_ord, listing_ord, score): each reference in order takes its best unused listing.
+
+    A day and city is taken in order in one task; no pair of a reference and a listing is written for it.
+    One with more rows than `loop_rows`, or with a key that is null or lies elsewhere too, is matched in rounds over its pairs.
+    """
+    r, rows, scored = _scored_titles(refs, listings, floor)
+    r, scored, place = cut(r), cut(scored), ["d", "c"]
+
+    def odd(df, key, title):
+        keys = df.select(key, *place, title).distinct().groupBy(key).agg(F.count("*").alias("n"))
+        keys = keys.filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_k"))
+        return df.join(keys, F.col(key).eqNullSafe(F.col("_k")), "left_semi").select(*place)
+
+    sizes = r.groupBy(*place).count().unionByName(rows.groupBy(*place).count()).groupBy(*place).agg(F.sum("count").alias("n"))
+    apart = cut(sizes.filter(F.col("n") > loop_rows).select(*place).unionByName(odd(r, "ref_ord", "rt")).unionByName(odd(rows, "listing_ord", "lt")).distinct())
+    if apart.isEmpty():
+        return _loops(r, rows, scored)
+    looped, paired = ([df.join(apart, place, how) for df in (r, rows, scored)] for how in ("left_anti", "left_semi"))
+    return _loops(*looped).unionByName(_rounds(_pairs(*paired)).select("ref_ord", "listing_ord", "score"))
+
+
 _DIMS = ["source", "category", "segment", "venue"]
 
 

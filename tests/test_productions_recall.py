@@ -93,3 +93,18 @@ def test_matching_is_one_to_one_in_reference_order(spark):
             want[ref] = free[0][1]
             used.add(free[0][1])
     assert got == want
+
+
+def test_matching_in_order_equals_rounds_over_pairs_and_writes_none(spark, monkeypatch):
+    titles = ["Stora Rockkonserten", "Stora rock konserten", "Rockkonserten stora", "Julmarknad"]
+    rows = [dict(id=f"e{i}", ingest_ord=i, title=titles[i % 3 if i % 5 else 3], start_date="2026-09-1" + str(i % 2), city=["Örebro", "Kumla"][i % 3 % 2]) for i in range(40)]
+    df = listings(spark, rows)
+    # One reference comes twice, one lies on two days.
+    asked = [(i, titles[i * 7 % 4], "2026-09-1" + str(i % 2), ["Örebro", "Kumla"][i % 2]) for i in range(30)]
+    refs = lambda more: spark.createDataFrame(asked + more, "ref_ord bigint, title string, start_date string, city string")
+    key = lambda found: sorted((r.ref_ord, r.listing_ord, round(r.score, 9)) for r in found.collect())
+    want = key(recall.match(refs([]), df, loop_rows=0))
+    odd = refs([asked[3], (4, titles[0], "2026-09-11", "Kumla")])
+    assert key(recall.match(odd, df)) == key(recall.match(odd, df, loop_rows=0))
+    monkeypatch.setattr(recall, "_pairs", lambda *a: 1 / 0)
+    assert want and key(recall.match(refs([asked[3]]), df)) == want
