@@ -60,16 +60,20 @@ def gate_score(score: Column) -> Column:
     return F.when(is_restricted(), F.least(score, F.lit(vocab.QUALITY_SCORE_CAP))).otherwise(score)
 
 
-def noise_severity(title="title", records="source_records") -> Column:
-    """high (navigation text, bare dates, URLs, nothing), review, or none."""
+def is_noise(title="title") -> Column:
+    """Navigation text, bare dates, URLs or nothing: severity high."""
     raw = F.trim(txt(title))
-    norm = search_text(raw)
-    buttons = sorted({search_text_py(t) for t in vocab.NOISE_TITLES})
-    high = (
-        (norm == "") | norm.isin(buttons)
-        | raw.rlike("(?iuU)" + vocab.DATE_ONLY_RE) | raw.rlike("(?iuU)" + vocab.TIME_ONLY_RE)
-        | norm.rlike("^(http|https|www) ")
+    # One pattern, so that a filter normalises the title once; normalised texts hold letters, digits and blanks only.
+    whole = "|".join(sorted({search_text_py(t) for t in vocab.NOISE_TITLES}))
+    return (
+        raw.rlike("(?iuU)" + vocab.DATE_ONLY_RE) | raw.rlike("(?iuU)" + vocab.TIME_ONLY_RE)
+        | search_text(raw).rlike(f"^((http|https|www) |({whole})?$)")
     )
+
+
+def noise_severity(title="title", records="source_records") -> Column:
+    """high (see `is_noise`), review, or none."""
+    norm = search_text(F.trim(txt(title)))
     review = F.length(norm) <= 3
     if records is not None:
         raws = F.filter(
@@ -77,7 +81,7 @@ def noise_severity(title="title", records="source_records") -> Column:
             lambda t: t != "",
         )
         review = review | F.coalesce((F.size(raws) >= 2) & ~F.array_contains(raws, norm), F.lit(False))
-    return F.when(high, "high").when(review, "review").otherwise("none")
+    return F.when(is_noise(title), "high").when(review, "review").otherwise("none")
 
 
 def title_issue() -> Column:

@@ -7,6 +7,9 @@ array is exploded.  There is no join between requests and listings.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from playbill import vocab
 from playbill.functions import dates, geo, scoring, showtimes
 from playbill.functions.classify import sport_allowed
-from playbill.functions.quality import noise_severity
+from playbill.functions.quality import is_noise
 from playbill.functions.scoring import SearchRequest
 from playbill.session import cut
 
@@ -39,7 +42,7 @@ def visible(listings: DataFrame, today) -> DataFrame:
     return listings.filter(
         ~F.coalesce("is_demo", F.lit(False))
         & dates.period_matches("start_date", "end_date", "excluded_dates", "any", today)
-        & (noise_severity() != "high")
+        & ~is_noise()
         & sport_allowed()
     )
 
@@ -86,7 +89,10 @@ def _distances(df: DataFrame, requests) -> tuple[DataFrame, dict]:
 
 
 def prepare(listings: DataFrame, requests) -> tuple[DataFrame, dict]:
-    """Request columns, location and distances; rows outside every request's period are dropped first."""
+    """Request columns, location and distances; rows outside every request's period are dropped first.
+
+    Texts are normalised only for rows that a request with a query or interests may take by everything else it asks for.
+    """
     windows = [dates.window_of(r.when, r.today) for r in requests]
     latest = max(hi for _, hi in windows)
     days = {r.today for r in requests}
@@ -95,7 +101,10 @@ def prepare(listings: DataFrame, requests) -> tuple[DataFrame, dict]:
     soon = listings.filter(F.col("start_date") <= latest.isoformat())
     if "last_date" in listings.columns:
         soon = soon.filter(F.col("last_date") >= min(lo for lo, _ in windows).isoformat()).drop("last_date")
-    return _distances(with_location(scoring.with_request_columns(soon, days.pop())), requests)
+    rows, names = _distances(with_location(scoring.with_plain_columns(soon, days.pop())), requests)
+    readers = dict.fromkeys(replace(r, request_id="", query="", interests=(), preset=None) for r in requests if r.query or r.interests)
+    read = reduce(lambda a, b: a | b, [request_matches(r, _km(names, r)) for r in readers], F.lit(False))
+    return scoring.with_search_columns(rows.withColumn("_read", read), F.col("_read")).drop("_read"), names
 
 
 def _km(names, r: SearchRequest) -> Column:
