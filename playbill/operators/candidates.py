@@ -19,21 +19,23 @@ _SETS = ["event_types", "unique_event_types", "frontier_segments", "unique_front
 def candidate_value_audit(merged: DataFrame, existing: DataFrame, candidates: DataFrame, names, today: dt.date) -> DataFrame:
     """What each candidate source would add.
 
-    `merged` is the deduplicated union of existing and candidate listings.  Sets are
-    built from distinct (source, value) pairs, so nothing is collected per listing.
+    `merged` is the deduplicated union of existing and candidate listings.  Listings without a
+    candidate are dropped before anything is worked out of their texts.  Sets are built from
+    distinct (source, value) pairs, so nothing is collected per listing.
     """
     names = sorted(set(names))
     none = F.array().cast("array<string>")
     frontier = catalogue.coverage_frontier(existing, today)
     underserved = frontier.filter(F.col("status") != "good").agg(F.array_sort(F.collect_list("segment")).alias("_u"))  # sixteen at most
-    own = lambda df: df.withColumn("_names", F.array_distinct("source_names"))
+    asked = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    own = lambda df: df.filter(F.arrays_overlap("source_names", asked)).withColumn("_names", F.array_distinct("source_names"))
     is_candidate = F.col("source").isin(names)
 
     raw = own(candidates).select(frontier_segments().alias("segments"), F.explode("_names").alias("source")).filter(is_candidate)
     raw_counts = raw.groupBy("source").agg(F.count("*").alias("candidate_events"))
 
     rows = (
-        own(booking.with_cta(merged))
+        booking.with_cta(own(merged))
         .withColumns(
             {
                 "segments": frontier_segments(), "kind": F.coalesce(F.nullif("event_type", F.lit("")), F.lit(vocab.UNKNOWN)),
@@ -51,16 +53,16 @@ def candidate_value_audit(merged: DataFrame, existing: DataFrame, candidates: Da
         F.count_if(gap_hit).alias("unique_events_in_underserved_segments"),
     )
 
-    def pairs(df, label, values: Column, cond=None):
-        df = df if cond is None else df.filter(cond)
-        return df.select("source", F.lit(label).alias("label"), F.explode(values).alias("value"))
+    def entries(label, values: Column, cond=F.lit(True)):
+        return F.when(cond, F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))).otherwise(F.array())
 
+    found = F.concat(
+        entries("event_types", F.array("kind")), entries("unique_event_types", F.array("kind"), F.col("sole")),
+        entries("unique_frontier_segments", F.col("segments"), F.col("sole")), entries("underserved_segments", F.col("gap"), F.col("sole")),
+    )
     sets = (
-        pairs(rows, "event_types", F.array("kind"))
-        .unionByName(pairs(rows, "unique_event_types", F.array("kind"), F.col("sole")))
-        .unionByName(pairs(raw, "frontier_segments", F.col("segments")))
-        .unionByName(pairs(rows, "unique_frontier_segments", F.col("segments"), F.col("sole")))
-        .unionByName(pairs(rows, "underserved_segments", F.col("gap"), F.col("sole")))
+        rows.select("source", F.inline(found))
+        .unionByName(raw.select("source", F.inline(entries("frontier_segments", F.col("segments")))))
         .distinct().groupBy("source").agg(*[F.array_sort(F.collect_list(F.when(F.col("label") == s, F.col("value")))).alias(s) for s in _SETS])
     )
     every = candidates.sparkSession.createDataFrame([(n,) for n in names], "source string")

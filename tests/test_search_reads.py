@@ -1,4 +1,4 @@
-"""Rows that no request can take cost no text work."""
+"""Rows that no request can take, or that name no candidate, cost no text work."""
 
 import datetime as dt
 import random
@@ -7,7 +7,7 @@ from playbill import vocab
 from playbill.functions import quality, scoring
 from playbill.functions.scoring import SearchRequest
 from playbill.functions.text import search_text_py
-from playbill.operators import ranking
+from playbill.operators import candidates, ranking
 from tests.factory import listings
 
 TODAY, NOW = dt.date(2026, 9, 10), dt.datetime(2026, 9, 10, 12)
@@ -64,3 +64,19 @@ def test_visibility_reads_the_title_alone_for_noise(spark, tmp_path):
             assert got[i].high, t
         assert (got[i].severity == "high") == got[i].high, t
     assert not any(got[titles.index(t)].high for t in ("program 2", "httpx y", "Jazz\nprogram", "www"))
+
+
+def test_candidate_audit_drops_other_listings_first_and_reads_each_side_once_for_its_sets(spark, tmp_path):
+    data = rows(120, 5)
+    listings(spark, data).write.parquet(str(tmp_path / "l"))
+    df = spark.read.parquet(str(tmp_path / "l"))
+    audit = candidates.candidate_value_audit(df, df, df, ["A", "B", "Z"], TODAY)
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("arrays_overlap(source_names") == 4  # two counts, and one pass of each side for all sets
+    for r in audit.collect():
+        mine = [x for x in data if r.source in (x["source_names"] or [])]
+        sole = [x for x in mine if len(set(x["source_names"])) == 1]
+        kinds = lambda found: sorted({x["event_type"] or vocab.UNKNOWN for x in found})
+        assert (r.candidate_events, r.unique_events, r.overlap_events) == (len(mine), len(sole), len(mine) - len(sole))
+        assert (r.event_types, r.unique_event_types) == (kinds(mine), kinds(sole)) and set(r.underserved_segments) <= set(r.unique_frontier_segments) <= set(r.frontier_segments)
+        assert r.frontier_segments == sorted(set(r.frontier_segments)) and bool(r.frontier_segments) == bool(mine)
