@@ -39,6 +39,16 @@ def request_table(spark: SparkSession, requests: list[SearchRequest]) -> DataFra
     return spark.createDataFrame(rows, REQUESTS)
 
 
+def shared(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that ask the same once, under an id of what they ask, and (request_id, asked_id) of all requests.
+
+    Results grouped by request can so be worked out once for all who ask the same, however many they are.
+    """
+    asks = [c.split()[0] for c in REQUESTS.split(", ")][1:]
+    named = requests.select("request_id", F.to_json(F.struct(*asks)).alias("asked_id"), *asks)
+    return named.select(F.col("asked_id").alias("request_id"), *asks).distinct(), named.select("request_id", "asked_id")
+
+
 def resolve(requests: DataFrame) -> DataFrame:
     """Adds the window (lo, hi), the origin's place, the price limit and the normalised query."""
     today = F.col("today")

@@ -11,6 +11,7 @@ from playbill.functions.scoring import SearchRequest
 from playbill.operators import catalogue, ranking, relaxation
 from playbill.plans.registry import query
 from playbill.plans.td import CITIES, NOW, TODAY, table, with_td, listings
+from playbill.session import cut
 
 REQUESTS = [
     SearchRequest("near_orebro", TODAY, NOW, "Örebro", "next_30_days", 200),
@@ -192,7 +193,7 @@ _CUSTOMER_SQL = f"""SELECT 'c' || c_custkey, c_nationkey < 20, clat, clon, [{',
 
 @query("request_table_search", with_td(f"{search_sql((), _CUSTOMER_SQL)} SELECT request_id, count(*) AS hits, max(score) AS best, CAST(sum(score) AS BIGINT) AS score_sum, CAST(sum(km) AS BIGINT) AS km_sum FROM ranked GROUP BY request_id"))
 def request_table_search(spark, sf):
-    """Every customer is a request, all of them in one join."""
+    """Every customer is a request, all of them in one join; those who ask the same are answered together."""
     from playbill.operators import request_join
 
     k, n = F.col("c_custkey"), F.col("c_nationkey")
@@ -201,8 +202,10 @@ def request_table_search(spark, sf):
         F.concat(F.lit("c"), k.cast("string")).alias("request_id"), F.lit(TODAY).alias("today"), F.when(n < 20, pick(CITIES, F.least(n, F.lit(19)))).alias("origin_city"), pick(_WHENS, k % 4).alias("when"), pick(_RADII, k % 3).alias("radius_km"),
         pick(_PRICES, F.floor(k / 3) % 3).alias("price"), F.when(k % 5 == 0, "Gear").otherwise("").alias("query"), F.when(k % 7 == 0, "5-LOW").alias("type_filter"), F.lit(False).alias("only_new"), F.array().cast("array<string>").alias("interests"),
     )
-    found = request_join.scored(_visible(spark, sf), requests)
-    return found.groupBy("request_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.sum("score").alias("score_sum"), F.sum("distance_km").alias("km_sum"))
+    asked, who = request_join.shared(requests)
+    found = request_join.scored(_visible(spark, sf), cut(asked))
+    found = found.groupBy(F.col("request_id").alias("asked_id")).agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.sum("score").alias("score_sum"), F.sum("distance_km").alias("km_sum"))
+    return who.join(found, "asked_id").groupBy("request_id").agg(F.sum("hits").alias("hits"), F.max("best").alias("best"), F.sum("score_sum").alias("score_sum"), F.sum("km_sum").alias("km_sum"))
 
 
 @query("text_search", with_td(f"SELECT id FROM td WHERE contains({norm_sql('title')} || '|' || {norm_sql('city')}, 'orebro') OR contains({norm_sql('title')}, 'blue')"))
